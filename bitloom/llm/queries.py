@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from bitloom.llm import bpe
+from bitloom.llm import bpe, decontaminate, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontaminate.SQL,
+}
