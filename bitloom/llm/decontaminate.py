@@ -53,10 +53,11 @@ def matches(docs: DataFrame, windows: DataFrame, keys: list[str], text: str) ->
         own = windows.where(F.col("size") == size).select("window", "items")
         grams = own.select(F.split("window", " ").alias("v")).select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(min(b - 1, size - b))), lambda k: _block(F.col("v"), k, b)))).alias("h")).distinct()
         blocks = F.when(F.size("w") >= b, F.transform(F.sequence(F.lit(0), F.expr(f"size(w) div {b}") - 1), lambda k: _block(F.col("w"), k * b, b)))
-        hits = w.select(*keys, "w", blocks.alias("hashes")).select(*keys, "w", F.posexplode("hashes").alias("k", "h")).join(hint(grams), "h")
+        # outer: a plain explode would have the optimizer test the hashes' size below the projection, building the words anew for each
+        hits = w.select(*keys, "w", blocks.alias("hashes")).select(*keys, "w", F.posexplode_outer("hashes").alias("k", "h")).join(hint(grams), "h")
         starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda d: F.col("k") * b - d), lambda s: (s >= 0) & (s + size <= F.size("w")))
         at = F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.array_join(F.slice("w", s.cast("int") + 1, size), " ").alias("window")))
-        tried = hits.select(*keys, F.explode(at).alias("x")).select(*keys, "x.start", "x.window")
+        tried = hits.select(*keys, F.explode_outer(at).alias("x")).select(*keys, "x.start", "x.window")
         found.append(tried.join(hint(own), "window").select(*keys, "start", F.lit(size).alias("size"), "items"))
     if not found:
         return docs.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items")).limit(0)
