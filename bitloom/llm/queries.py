@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bitloom.llm import bpe, decontaminate, token_files
+from bitloom.llm import bpe, decontaminate, secrets, token_files
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_secrets": secrets.op6_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 
