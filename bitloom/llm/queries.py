@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bitloom.llm import bpe, decontaminate, secrets, token_files
+from bitloom.llm import bpe, decontaminate, secrets, token_files, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_token_files": token_files.op3_token_files,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_secrets": secrets.op6_secrets,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op4_decontaminate": decontaminate.SQL,
 }
