@@ -70,7 +70,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(2**40, 2**62)) * 8 + 5
+_BASE = (int(_rng.integers(2**40, 2**62)) * 8 + 5) % 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = []
 
@@ -79,7 +79,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse modulo 2**64, raised to 0 .. n-1."""
     if not _powers or len(_powers[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, _INVERSE)]
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.repeat(np.array([b], np.uint64), size - 1))) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
@@ -222,17 +222,25 @@ class UnitMemory:
     """Ids of texts, each distinct unit being encoded once while it is remembered.
 
     encode_units(list of units) -> (all their ids, number per unit). When more than `bound` units or eight times as many ids
-    are held, all are forgotten; results don't depend on that.
+    are held, the rarely used ones are forgotten; results don't depend on that.
     """
 
     def __init__(self, encode_units, bound: int = 800_000):
         self.encode_units, self.bound = encode_units, bound
-        self.forget()
-
-    def forget(self) -> None:
         self.known = Numbering()
         self.ids = np.empty(0, np.int32)
-        self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.starts, self.counts, self.uses = (np.empty(0, np.int32) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keeps the most used units, a third at most."""
+        least = max(3, int(np.partition(self.uses, -len(self.uses) // 3)[-len(self.uses) // 3]) + 1)
+        keep = self.uses >= least
+        known = Numbering()
+        known.update((u, i) for i, u in enumerate(u for u, k in zip(self.known, keep.tolist()) if k))
+        self.ids = gather(self.ids, self.starts[keep], self.counts[keep])
+        self.known, self.counts = known, self.counts[keep]
+        self.starts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
+        self.uses = np.ones(len(self.counts), np.int32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -247,6 +255,8 @@ class UnitMemory:
             self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
             self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int32)])
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         counts = self.counts[at]
         return gather(self.ids, self.starts[at], counts), group_sums(counts, lengths)
 

@@ -12,7 +12,6 @@ import json
 import os
 import uuid
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -257,18 +256,15 @@ class LibraryEncoder:
         self.memory = UnitMemory(self.encode_units)
 
     def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = np.array([len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace() for t in texts], bool)
-        runs = [[t for t, _ in g] for _, g in groupby(zip((t for t, j in zip(texts, joined) if j), range(len(texts))), key=lambda x: x[1] // 512)]
+        joined = [len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace() and t.find(" ", 1) < 0 for t in texts]
+        run = "".join(t for t, j in zip(texts, joined) if j)
         apart = [t for t, j in zip(texts, joined) if not j]
-        encoded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(["".join(r) for r in runs] + apart, add_special_tokens=False)]
-        counts = []
-        for run, ids in zip(runs, encoded):
-            ends = np.cumsum([len(t.encode()) for t in run])
-            counts.append(np.diff(np.append(0, np.searchsorted(np.cumsum(self.widths[ids]), ends, "left") + 1)))
-        counts.append(np.array([len(e) for e in encoded[len(runs) :]], np.int64))
-        own = np.concatenate(counts)
-        flat = np.concatenate([*encoded, np.empty(0, np.int32)])
-        order = np.argsort(~joined, kind="stable")
+        encoded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([run, *apart], add_special_tokens=False)]
+        starts = np.flatnonzero(np.frombuffer(run.encode(), np.uint8) == 0x20)  # such a unit has one space, its first character
+        counts = np.diff(np.append(np.searchsorted(np.cumsum(self.widths[encoded[0]]) - self.widths[encoded[0]], starts), len(encoded[0])))
+        own = np.concatenate([counts, [len(e) for e in encoded[1:]]]).astype(np.int64)
+        flat = np.concatenate(encoded)
+        order = np.argsort(~np.array(joined, bool), kind="stable")
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         return gather(flat, (np.cumsum(own) - own)[back], own[back]), own[back]
