@@ -30,7 +30,7 @@ def open_input(path: str):
 def open_output(path: str):
     system, at = resolve(path)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(at)
+    return system.open_output_stream(at, compression=None)
 
 
 def write_manifest(folder: str, entries: list[dict]) -> None:

@@ -262,7 +262,7 @@ def _page(urn: str):
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as WARC and reads them back: bytes and digest of a response come from its payload as read."""
     path = shared_path(spark, "warc")
-    write(records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    write(records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path, zipped=True)
     back = read(spark, path, ["record_type", "record_id", "payload_digest", "refers_to", "payload_length", "payload"])
     here = F.col("record_type") == "response"
     return back.select(
