@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from bitloom.llm import bpe, decontaminate, jaccard, secrets, token_files, warc
+from bitloom.llm import bpe, decontaminate, jaccard, langid, quality, secrets, token_files, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_token_files": token_files.op3_token_files,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_secrets": secrets.op6_secrets,
+    "op7_quality": quality.op7_quality,
+    "op8_language": langid.op8_language,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_bpe": bpe.op10_bpe,
 }
