@@ -31,6 +31,8 @@ from bitloom.llm.components import components, local_components
 BLOCK = 1024
 #: Signatures a routing task works on, about.
 TASK_SIGNATURES = 1_500_000
+#: Size of the bitmap that filters texts; a broadcast of a quarter of a million rows at most.
+FILTER_BITS = 1 << 24
 #: Up to this many differences, parts without members are told apart by further rounds. Beyond it, a pair whose equal parts are all
 #: empty has a chance below 1e-17.
 FEW = 40
@@ -359,7 +361,12 @@ def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", w
 
 
 def _with_text(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    return texts.join(blocks.hint("shuffle_hash"), "doc").select("b1", "b2", "b3", "doc", "label", "text")
+    """The blocks' texts. A bitmap of hashed ids, FILTER_BITS at most, is broadcast first, so that few other texts are shuffled."""
+    at = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    place, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    bits = blocks.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    near = texts.withColumn("place", place).join(F.broadcast(bits), "place").where(F.call_function("getbit", "bits", bit) == 1)
+    return near.join(blocks.hint("shuffle_hash"), "doc").select("b1", "b2", "b3", "doc", "label", "text")
 
 
 def _across(wide: DataFrame, found: DataFrame) -> DataFrame:
