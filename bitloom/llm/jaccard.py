@@ -253,6 +253,7 @@ def block_links(sets: list[np.ndarray], groups: list, t: Threshold) -> list[tupl
     counts = np.bincount(at)
     starts = np.cumsum(counts) - counts
     posted = np.repeat(np.arange(n), sizes)[np.argsort(at, kind="stable")]
+    entries = np.repeat(np.arange(len(members)), counts) * n + posted  # all lists in a row, for binary probes
     bounds = np.append(0, np.cumsum(sizes))
     numbers: dict = {}
     root = np.array([numbers.setdefault(groups[k], len(numbers)) for k in order])
@@ -276,20 +277,21 @@ def block_links(sets: list[np.ndarray], groups: list, t: Threshold) -> list[tupl
             x = x[root[x] != root[q]]
             if len(x):
                 merged.append(x)
-        for c, seen in t_occurrence(merged, least - skip):
-            if root[c] == root[q]:
+        found = t_occurrence(merged, least - skip)
+        found.sort(key=lambda x: -x[1])  # the likeliest first: once linked, the rest of its component needs no test
+        lo, step = 0, 4
+        while lo < len(found):
+            own = [(c, seen) for c, seen in found[lo : lo + step] if root[c] != root[q]]
+            lo, step = lo + step, min(step * 2, 256)
+            if not own:
                 continue
-            need, left = t.overlap(size, int(sizes[c])), len(long)
-            for m in long.tolist():
-                if seen >= need or seen + left < need:
-                    break
-                lo, hi = int(starts[m]), int(starts[m] + counts[m])
-                p = lo + int(np.searchsorted(posted[lo:hi], c))
-                seen += p < hi and int(posted[p]) == c
-                left -= 1
-            if seen >= need and t.linked(size, int(sizes[c]), seen):
-                links.append((order[q], order[c]))
-                root[root == root[c]] = root[q]
+            keys = long[:, None] * n + np.array([c for c, _ in own])
+            probes = np.searchsorted(entries, keys)
+            held = (entries[np.minimum(probes, len(entries) - 1)] == keys).sum(0)
+            for (c, seen), more in zip(own, held.tolist()):
+                if root[c] != root[q] and t.linked(size, int(sizes[c]), seen + more):
+                    links.append((order[q], order[c]))
+                    root[root == root[c]] = root[q]
     return links
 
 
