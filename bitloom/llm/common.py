@@ -173,14 +173,16 @@ def keep_columns(batch: pa.RecordBatch, names: list[str], extra: dict[str, pa.Ar
 
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s")
+_ODD_ASCII = ("  ", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def units(text: str) -> list[str]:
-    """text cut before each single space that stands between two characters that aren't white space.
+    """Keys of the pieces of text, cut before each single space that stands between two characters that aren't white space.
 
-    No match of the usual byte-level pre-tokenizer pattern runs across such a place, so units can be encoded apart.
+    No match of the usual byte-level pre-tokenizer pattern runs across such a place, so pieces can be encoded apart. The first
+    key is a space and the first piece; another key is its piece without the leading space (and never starts with one).
     """
-    if _ODD.search(text):
+    if any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text):
         parts = _SPLIT.split(text)
     else:
         parts = text.split(" ")
@@ -188,7 +190,13 @@ def units(text: str) -> list[str]:
             parts[:2] = [" " + parts[1]]
         if not parts[-1] and len(parts) > 1:
             parts[-2:] = [parts[-2] + " "]
-    return parts[:1] + [" " + p for p in parts[1:]]
+    parts[0] = " " + parts[0]
+    return parts
+
+
+def piece(key: str) -> str:
+    """The piece of a key."""
+    return key[1:] if key[0] == " " else " " + key
 
 
 class Numbering(dict):
@@ -225,7 +233,7 @@ class UnitMemory:
     are held, the rarely used ones are forgotten; results don't depend on that.
     """
 
-    def __init__(self, encode_units, bound: int = 800_000):
+    def __init__(self, encode_units, bound: int = 400_000):
         self.encode_units, self.bound = encode_units, bound
         self.known = Numbering()
         self.ids = np.empty(0, np.int32)
@@ -242,6 +250,31 @@ class UnitMemory:
         self.starts = (np.cumsum(self.counts) - self.counts).astype(np.int32)
         self.uses = np.ones(len(self.counts), np.int32)
 
+    def _learn(self) -> None:
+        """Encodes the new keys. A word with a comma or full stop after it is the word's ids and the mark's: no pre-token holds both."""
+        first, new = len(self.counts), self.known.new
+        plain, marked = [], []
+        for i, k in enumerate(new):  # looking up may add to `new`, which the loop then reaches
+            if k[-1] in ",." and len(k) > 1 and k[-2].isalpha() and k[0] != " ":
+                marked.append((first + i, self.known[k[:-1]], self.known[" " + k[-1]]))
+            else:
+                plain.append(i)
+        starts, counts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        ids, counts[plain] = self.encode_units([piece(new[i]) for i in plain])
+        starts[plain] = len(self.ids) + np.cumsum(counts[plain]) - counts[plain]
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        starts, counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        if marked:
+            at, *pair = np.array(marked, np.int64).T
+            pair = np.stack(pair, 1).ravel()
+            counts[at] = counts[pair].reshape(-1, 2).sum(1)
+            both = gather(self.ids, starts[pair], counts[pair])
+            starts[at] = len(self.ids) + np.cumsum(counts[at]) - counts[at]
+            self.ids = np.concatenate([self.ids, both])
+        self.starts, self.counts = starts.astype(np.int32), counts.astype(np.int32)
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.known.new = []
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         if len(self.known) > self.bound or len(self.ids) > 8 * self.bound:
@@ -250,18 +283,13 @@ class UnitMemory:
         lengths = np.array([len(p) for p in parts], np.int64)
         at = self.known.all(chain.from_iterable(parts), int(lengths.sum()))
         if self.known.new:
-            ids, counts = self.encode_units(self.known.new)
-            self.known.new = []
-            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
-            self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int32)])
+            self._learn()
         self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         counts = self.counts[at]
         return gather(self.ids, self.starts[at], counts), group_sums(counts, lengths)
 
 
-def text_runs(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def text_runs(column: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of runs of rows with about `chars` characters."""
     lo, held, size = 0, [], 0
     for start in range(0, len(column), 512):

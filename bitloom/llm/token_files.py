@@ -25,7 +25,7 @@ from bitloom.llm.common import UnitMemory, documents, gather, keep_columns, out_
 BLOCK = 512
 MAGIC = b"DACIDS1\n"
 #: Tokens per file at most (a single longer document gets a file of its own).
-FILE_TOKENS = 1 << 24
+FILE_TOKENS = 1 << 22
 
 
 # -- the code ------------------------------------------------------------------------------------
@@ -38,7 +38,7 @@ def encode_levels(ids: np.ndarray, bits: int = 8) -> list[tuple[np.ndarray, np.n
     while True:
         more = rest >> np.uint32(bits)
         goes_on = more > 0
-        ones = np.bincount(np.flatnonzero(goes_on) // BLOCK, minlength=-(-len(rest) // BLOCK) or 1)
+        ones = np.add.reduceat(goes_on, np.arange(0, len(rest), BLOCK), dtype=np.int64) if len(rest) else np.zeros(1, np.int64)
         levels.append(((rest & np.uint32((1 << bits) - 1)).astype(kind), np.packbits(goes_on, bitorder="little"), np.append(0, np.cumsum(ones)[:-1]).astype("<u4")))
         if not goes_on.any():
             return levels
