@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def swapped(data: Column, size: int) -> Column:
@@ -15,7 +16,7 @@ def swapped(data: Column, size: int) -> Column:
     return F.unhex(F.array_join(F.transform(groups, lambda g: F.array_join(F.reverse(F.regexp_extract_all(g, F.lit(".."), F.lit(0))), "")), ""))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzip(column: pd.Series) -> pd.Series:
     """Inflated bytes; null where they aren't gzip."""
 
@@ -28,7 +29,7 @@ def gunzip(column: pd.Series) -> pd.Series:
     return column.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzip(column: pd.Series) -> pd.Series:
     def one(b):
         if b is None:
