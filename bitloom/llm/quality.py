@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import Words, crc_mod, documents, keep_columns, mix, out_schema, prefix_hash, text_slices
-from bitloom.llm.sample import bounded
+from bitloom.llm.sample import bounded, fit_in_task
 
 #: Labelled texts that the model is fitted on, at most twice as many.
 SAMPLE_ROWS = 3000
@@ -105,10 +105,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model:
 def train(df: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model on about sample_rows rows of df that have text and a label of 0 or 1."""
     own = df.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(key, text, label)
-    rows = bounded(own, F.col(key), sample_rows).select(key, text, label).toArrow()
-    order = np.argsort(np.array(rows.column(0).cast(pa.string()).to_pylist(), dtype=object), kind="stable") if len(rows) else []
-    texts, labels = rows.column(1).to_pylist(), rows.column(2).to_pylist()
-    return fit([texts[i] for i in order], [labels[i] for i in order])
+    rows = bounded(own, F.col(key), sample_rows).select(F.col(key).cast("string").alias("key"), text, F.col(label).cast("int").alias("label"))
+
+    def run(table: pa.Table) -> Model:
+        ids, texts, labels = (c.to_pylist() for c in table.columns)
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] or "", texts[i]))
+        return fit([texts[i] for i in order], [labels[i] for i in order])
+
+    return fit_in_task(rows, run)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,3 +16,16 @@ def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 40)) < int((1 << 40) * rows / n)).limit(2 * rows)
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """fit(rows) in one task, for a bounded sample: the driver gets the model alone."""
+    schema = rows.schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        table = pa.Table.from_batches(list(batches), to_arrow_schema(schema))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first()["model"])
