@@ -28,4 +28,5 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
         table = pa.Table.from_batches(list(batches), to_arrow_schema(schema))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit(rows.limit(0).toArrow())  # no partition, no task
