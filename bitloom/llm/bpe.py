@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, keep_columns, out_schema, text_runs
+from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, in_order, joined_units, keep_columns, out_schema, text_slices
 
 
 class RankQueue:
@@ -142,16 +142,17 @@ class Codec:
         alive = ids[:n] >= 0
         return ids[:n][alive], np.bincount(owner[alive], minlength=len(pieces))
 
-    def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, by pre-token. Those with a single leading space are searched for pre-tokens as one string."""
-        joined = [len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace() for t in texts]
-        found = self.find("".join(t for t, j in zip(texts, joined) if j))
-        ends = np.cumsum([len(t) for t, j in zip(texts, joined) if j], dtype=np.int64)
-        pretokens = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends, "right")
-        apart = [self.find(t) for t, j in zip(texts, joined) if not j]
-        n = np.concatenate([np.diff(np.append(0, pretokens)), [len(f) for f in apart]]).astype(np.int64)
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, by pre-token. Most units are searched for pre-tokens as one string."""
+        held, flags, apart = joined_units(units)
+        found, more = self.find("".join(held)), [self.find(u) for u in apart]
+        ends = np.cumsum([len(u) for u in held], dtype=np.int64)
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends, "right")
+        first = np.append(0, last)[:-1]
+        fed = np.array([u[0] == "\n" for u in held], bool)
+        n = np.concatenate([last - first - fed, [len(f) for f in more]]).astype(np.int64)
         numbers = Numbering()
-        at = numbers.all(chain(found, chain.from_iterable(apart)), int(n.sum()))
+        at = np.delete(numbers.all(chain(found, chain.from_iterable(more)), len(found) + sum(map(len, more))), first[fed])
         pieces = numbers.new
         ids, counts = self.merge([b"" if p in self.whole else p.encode() for p in pieces])
         starts = np.cumsum(counts) - counts
@@ -159,13 +160,7 @@ class Codec:
         starts = np.where(whole >= 0, len(ids) + np.arange(len(whole)), starts)
         counts = np.where(whole >= 0, 1, counts)
         ids = np.concatenate([ids, whole])
-        # from the order "joined, then apart" back to that of the texts
-        own = group_sums(counts[at], n)
-        flat = gather(ids, starts[at], counts[at])
-        order = np.argsort(~np.array(joined, bool), kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return gather(flat, (np.cumsum(own) - own)[back], own[back]), own[back]
+        return in_order(flags, gather(ids, starts[at], counts[at]), group_sums(counts[at], n))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -211,10 +206,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     def run(batches):
         codec = get()
         for batch in batches:
-            for lo, texts in text_runs(batch.column(text)):
-                ids, counts = codec.encode(texts)
+            for lo, hi, data, offsets in text_slices(batch.column(text)):
+                ids, counts = codec.memory.encode_run(data, offsets)
                 ends = np.append(0, np.cumsum(counts)).astype(np.int32)
-                yield keep_columns(batch.slice(lo, len(texts)), names, {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
+                yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
 
     return df.mapInArrow(run, schema)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -171,32 +169,44 @@ def keep_columns(batch: pa.RecordBatch, names: list[str], extra: dict[str, pa.Ar
 
 # -- token ids of texts through a memory of repeated pieces -------------------------------------
 
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s")
-_ODD_ASCII = ("  ", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 
+def _bytes(*values) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
 
-def units(text: str) -> list[str]:
-    """Keys of the pieces of text, cut before each single space that stands between two characters that aren't white space.
 
-    No match of the usual byte-level pre-tokenizer pattern runs across such a place, so pieces can be encoded apart. The first
-    key is a space and the first piece; another key is its piece without the leading space (and never starts with one).
-    """
-    if any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text):
-        parts = _SPLIT.split(text)
-    else:
-        parts = text.split(" ")
-        if not parts[0] and len(parts) > 1:  # the text starts with a space
-            parts[:2] = [" " + parts[1]]
-        if not parts[-1] and len(parts) > 1:
-            parts[-2:] = [parts[-2] + " "]
-    parts[0] = " " + parts[0]
-    return parts
+#: White space and what some libraries take for it; no cut is made next to these.
+_ODD_SPACE = _bytes(*range(0x09, 0x0E), *range(0x1C, 0x21))
+#: First bytes of the characters among which the other white space is.
+_WIDE_LEAD = _bytes(0xC2, 0xE1, 0xE2, 0xE3)
+_PUNCTUATION = _bytes(*(c for c in range(0x21, 0x7F) if not chr(c).isalnum()))
+_LETTER = _bytes(*(c for c in range(0x41, 0x7B) if chr(c).isalpha()))
+#: Second bytes of letters after 0xC3 (all but the multiplication and division signs).
+_LATIN_LETTER = _bytes(*(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)))
+
 
+def unit_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Ascending places that cut the texts into units, text borders among them.
 
-def piece(key: str) -> str:
-    """The piece of a key."""
-    return key[1:] if key[0] == " " else " " + key
+    Cuts are before each single space or line feed that stands between two characters that aren't white space, after such a line feed, and
+    between a Latin letter and ASCII punctuation. No match of the usual byte-level pre-tokenizer pattern (words, numbers or other
+    characters with a space before them, contractions, white space) runs across such a place, so units can be encoded apart.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate([np.zeros(3, np.uint8), data])  # before[i + 3 - k] is the byte k before i
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[~edge[at] & ~edge[at + 1]]
+    after = data[at + 1]
+    odd = _ODD_SPACE[before[at + 2]] | _ODD_SPACE[after] | _WIDE_LEAD[after] | (before[at + 1] == 0xC2) | (_WIDE_LEAD[before[at]] & (before[at] != 0xC2))
+    at = at[~odd]
+    edge[at] = True
+    edge[at[data[at] == 0x0A] + 1] = True
+    marks = np.flatnonzero(_PUNCTUATION[data])
+    last = before[marks + 2]
+    edge[marks[_LETTER[last] | (_LATIN_LETTER[last] & (before[marks + 1] == 0xC3))]] = True
+    return np.flatnonzero(edge)
 
 
 class Numbering(dict):
@@ -251,53 +261,56 @@ class UnitMemory:
         self.uses = np.ones(len(self.counts), np.int32)
 
     def _learn(self) -> None:
-        """Encodes the new keys. A word with a comma or full stop after it is the word's ids and the mark's: no pre-token holds both."""
-        first, new = len(self.counts), self.known.new
-        plain, marked = [], []
-        for i, k in enumerate(new):  # looking up may add to `new`, which the loop then reaches
-            if k[-1] in ",." and len(k) > 1 and k[-2].isalpha() and k[0] != " ":
-                marked.append((first + i, self.known[k[:-1]], self.known[" " + k[-1]]))
-            else:
-                plain.append(i)
-        starts, counts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        ids, counts[plain] = self.encode_units([piece(new[i]) for i in plain])
-        starts[plain] = len(self.ids) + np.cumsum(counts[plain]) - counts[plain]
+        """Encodes the new keys."""
+        new = self.known.new
+        ids, counts = self.encode_units([u.decode() for u in new])
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        starts, counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
-        if marked:
-            at, *pair = np.array(marked, np.int64).T
-            pair = np.stack(pair, 1).ravel()
-            counts[at] = counts[pair].reshape(-1, 2).sum(1)
-            both = gather(self.ids, starts[pair], counts[pair])
-            starts[at] = len(self.ids) + np.cumsum(counts[at]) - counts[at]
-            self.ids = np.concatenate([self.ids, both])
-        self.starts, self.counts = starts.astype(np.int32), counts.astype(np.int32)
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
         self.known.new = []
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text) of a run as text_slices gives it."""
         if len(self.known) > self.bound or len(self.ids) > 8 * self.bound:
             self.forget()
-        parts = [units(t) if t else [] for t in texts]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        at = self.known.all(chain.from_iterable(parts), int(lengths.sum()))
+        cuts = unit_offsets(data, offsets)
+        n = len(cuts) - 1
+        found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        own = found.indices.to_numpy(zero_copy_only=False)
+        at = self.known.all(distinct, len(distinct))
         if self.known.new:
             self._learn()
-        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
-        counts = self.counts[at]
-        return gather(self.ids, self.starts[at], counts), group_sums(counts, lengths)
-
-
-def text_runs(column: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of runs of rows with about `chars` characters."""
-    lo, held, size = 0, [], 0
-    for start in range(0, len(column), 512):
-        for t in column.slice(start, 512).to_pylist():
-            held.append(t)
-            size += len(t or "")
-            if size >= chars:
-                yield lo, held
-                lo, held, size = lo + len(held), [], 0
-    if held:
-        yield lo, held
+        self.uses[at] += np.bincount(own, minlength=len(distinct)).astype(np.int32)
+        counts = self.counts[at][own]
+        return gather(self.ids, self.starts[at][own], counts), group_sums(counts, np.diff(np.searchsorted(cuts, offsets)))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a list of texts; null has no ids."""
+        runs = [self.encode_run(data, offsets) for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string()))]
+        return tuple(np.concatenate(x) for x in zip(*runs)) if runs else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+
+def joined_units(units: list[str]) -> tuple[list[str], np.ndarray, list[str]]:
+    """(units that can be encoded as one string, flags of those, the other units).
+
+    A unit whose only white space is a space in front is taken as it is; one without white space gets a line feed in front. Where the units
+    begin stays a place that no pre-token runs across, and the line feed is a pre-token.
+    """
+    held, flags, apart = [], [], []
+    for u in units:
+        body = u[1:] if u[0] == " " else u
+        flags.append(joins := body.split() == [body])
+        if joins:
+            held.append(u if u[0] == " " else "\n" + u)
+        else:
+            apart.append(u)
+    return held, np.array(flags, bool), apart
+
+
+def in_order(flags: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of joined units and then the others, put back in the units' order."""
+    back = np.empty(len(flags), np.int64)
+    back[np.argsort(~flags, kind="stable")] = np.arange(len(flags))
+    return gather(flat, (np.cumsum(counts) - counts)[back], counts[back]), counts[back]

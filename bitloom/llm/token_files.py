@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from bitloom.llm import files
-from bitloom.llm.common import UnitMemory, documents, gather, keep_columns, out_schema, shared_path, text_runs
+from bitloom.llm.common import UnitMemory, documents, in_order, joined_units, keep_columns, out_schema, shared_path, text_slices
 
 BLOCK = 512
 MAGIC = b"DACIDS1\n"
@@ -243,7 +243,7 @@ class _Reader(DataSourceReader):
 
 
 class LibraryEncoder:
-    """The tokenizers library over distinct units: many units with a leading space go to it as one string, cut by byte length after."""
+    """The tokenizers library over distinct units: most go to it as one string, cut by byte length after."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -255,19 +255,18 @@ class LibraryEncoder:
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memory = UnitMemory(self.encode_units)
 
-    def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = [len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace() and t.find(" ", 1) < 0 for t in texts]
-        run = "".join(t for t, j in zip(texts, joined) if j)
-        apart = [t for t, j in zip(texts, joined) if not j]
-        encoded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([run, *apart], add_special_tokens=False)]
-        starts = np.flatnonzero(np.frombuffer(run.encode(), np.uint8) == 0x20)  # such a unit has one space, its first character
-        counts = np.diff(np.append(np.searchsorted(np.cumsum(self.widths[encoded[0]]) - self.widths[encoded[0]], starts), len(encoded[0])))
-        own = np.concatenate([counts, [len(e) for e in encoded[1:]]]).astype(np.int64)
-        flat = np.concatenate(encoded)
-        order = np.argsort(~np.array(joined, bool), kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return gather(flat, (np.cumsum(own) - own)[back], own[back]), own[back]
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held, flags, apart = joined_units(units)
+        run = "".join(held)
+        first, *rest = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([run, *apart], add_special_tokens=False)]
+        raw = np.frombuffer(run.encode(), np.uint8)
+        starts = np.flatnonzero((raw == 0x20) | (raw == 0x0A))  # of the units, which have one of these each, as their first character
+        widths = self.widths[first]
+        at = np.searchsorted(np.cumsum(widths) - widths, starts)
+        fed = raw[starts] == 0x0A
+        counts = np.diff(np.append(at, len(first))) - fed
+        counts = np.concatenate([counts, [len(e) for e in rest]]).astype(np.int64)
+        return in_order(flags, np.concatenate([np.delete(first, at[fed]), *rest]), counts)
 
 
 #: Encoders of this Python worker; later tasks of the worker find them filled.
@@ -291,13 +290,13 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = None, text:
             _ENCODERS[key] = LibraryEncoder(model.value)
         memory = _ENCODERS[key].memory
         for batch in batches:
-            for lo, texts in text_runs(batch.column(text)):
-                ids, counts = memory.encode(texts)
+            for lo, hi, data, offsets in text_slices(batch.column(text)):
+                ids, counts = memory.encode_run(data, offsets)
                 ends = np.cumsum(counts)
                 if end_id is not None:
                     ids = np.insert(ids, ends, end_id)
                     ends = ends + np.arange(1, len(ends) + 1)
-                yield keep_columns(batch.slice(lo, len(texts)), names, {out: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))})
+                yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))})
 
     return df.mapInArrow(run, schema)
 
