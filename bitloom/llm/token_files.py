@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -146,7 +147,11 @@ class _File(InputPartition):
 
 
 class TokenIdSource(DataSource):
-    """format("token_ids"): writes rows (doc_id, token_ids) and reads rows of SCHEMA; ids_le holds 4 bytes per id."""
+    """format("token_ids"): writes rows (doc_id, token_ids) and reads rows of SCHEMA; ids_le holds 4 bytes per id.
+
+    With the option tokenizer (a file of the tokenizers library, read by the driver), it writes rows (doc_id, text) and encodes them on the
+    way, so that ids don't pass between processes; end_id is then put after each text's ids.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -159,12 +164,28 @@ class TokenIdSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("bits", 8)))
+        model = None
+        if "tokenizer" in self.options:
+            with open(self.options["tokenizer"], encoding="utf-8") as f:
+                model = f.read()  # a file of fixed size
+        return _Writer(self.options["path"], int(self.options.get("bits", 8)), model, int(self.options["end_id"]) if "end_id" in self.options else None)
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits = path.rstrip("/"), bits
+    def __init__(self, path: str, bits: int, model: str | None, end_id: int | None):
+        self.path, self.bits, self.model, self.end_id = path.rstrip("/"), bits, model, end_id
+
+    def _rows(self, batch: pa.RecordBatch):
+        """(doc ids, ids of all rows, number per row) of runs of rows."""
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        if self.model is None:
+            lists = batch.column(batch.schema.get_field_index("token_ids"))
+            yield ids.to_pylist(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.array(pc.fill_null(lists.value_lengths(), 0), np.int64)
+            return
+        own = encoder(self.model)
+        for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
+            flat, sizes = own.encode_run(data, offsets, self.end_id)
+            yield ids.slice(lo, hi - lo).to_pylist(), flat.astype(np.uint32), sizes
 
     def write(self, iterator) -> _Written:
         entries: list[dict] = []
@@ -179,11 +200,7 @@ class _Writer(DataSourceArrowWriter):
                 entries.append({"name": name, "nulls": len(docs) - len(known), "first": known[0] if known else None, "docs": len(docs), "tokens": size, "order": len(entries)})
             docs, counts, held, size = [], [], [], 0
 
-        for batch in iterator:
-            lists = batch.column(batch.schema.get_field_index("token_ids"))
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-            sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+        for ids, flat, sizes in (x for batch in iterator for x in self._rows(batch)):
             ends = np.cumsum(sizes)
             lo = 0
             while lo < len(ids):
@@ -269,10 +286,23 @@ class LibraryEncoder:
         return in_order(flags, np.concatenate([np.delete(first, at[fed]), *rest]), counts)
 
 
-#: Encoders of this Python worker; later tasks of the worker find them filled.
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a run of texts, each followed by end_id if there is one; number per text)."""
+        ids, counts = self.memory.encode_run(data, offsets)
+        return (ids, counts) if end_id is None else (np.insert(ids, np.cumsum(counts), end_id), counts + 1)
+
+
+#: Encoder of this Python worker, by its model; later tasks of the worker find it filled.
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
+def encoder(model: str) -> LibraryEncoder:
+    if model not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model] = LibraryEncoder(model)
+    return _ENCODERS[model]
+
+
 def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = None, text: str = "text", out: str = "token_ids", keep_text: bool = False) -> DataFrame:
     """Adds each text's ids (array<int>) by the tokenizers library, followed by end_id if one is given.
 
@@ -280,23 +310,15 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = None, text:
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
-    key = uuid.uuid4().hex
     schema = out_schema(df, () if keep_text else (text,), f"`{out}` array<int>")
     names = schema.names[:-1]
 
     def run(batches):
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = LibraryEncoder(model.value)
-        memory = _ENCODERS[key].memory
+        own = encoder(model.value)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(text)):
-                ids, counts = memory.encode_run(data, offsets)
-                ends = np.cumsum(counts)
-                if end_id is not None:
-                    ids = np.insert(ids, ends, end_id)
-                    ends = ends + np.arange(1, len(ends) + 1)
-                yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))})
+                ids, counts = own.encode_run(data, offsets, end_id)
+                yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))})
 
     return df.mapInArrow(run, schema)
 
@@ -307,6 +329,13 @@ def write(df: DataFrame, path: str, bits: int = 8) -> None:
     df.select("doc_id", F.coalesce("token_ids", F.array().cast("array<int>")).alias("token_ids")).write.format("token_ids").mode("append").option("bits", bits).save(path)
 
 
+def write_texts(df: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, bits: int = 8) -> None:
+    """Writes the ids of (doc_id, text), as `encode` and `write` would; null and empty texts have end_id alone."""
+    df.sparkSession.dataSource.register(TokenIdSource)
+    out = df.select("doc_id", "text").write.format("token_ids").mode("append").option("bits", bits).option("tokenizer", tokenizer_path)
+    (out if end_id is None else out.option("end_id", end_id)).save(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of SCHEMA: start counts the ids of all documents before."""
     spark.dataSource.register(TokenIdSource)
@@ -323,5 +352,5 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = shared_path(spark, "token-ids")
-    write(encode(ordered(documents(spark, sf_dir, "doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"), end_id=2), path)
+    write_texts(ordered(documents(spark, sf_dir, "doc_id", "text")), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))

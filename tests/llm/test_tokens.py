@@ -73,7 +73,8 @@ def test_levels(bits, n):
         assert (token_files.decode_all(levels, bits, i, j) == ids[i:j]).all()
 
 
-def test_files(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("at_once", [False, True])
+def test_files(spark, tmp_path, at_once):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -82,8 +83,11 @@ def test_files(spark, tmp_path, monkeypatch):
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, "no id"), (9, None), (9, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     path = str(tmp_path / "ids")
-    encoded = token_files.encode(token_files.ordered(df), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    token_files.write(encoded, path)
+    at = public_tokenizers.path("byte_bpe_50k.json")
+    if at_once:
+        token_files.write_texts(token_files.ordered(df), path, at, end_id=2)
+    else:
+        token_files.write(token_files.encode(token_files.ordered(df), at, end_id=2), path)
     found = token_files.read(spark, path).orderBy("start").collect()
     assert len(found) == len(rows)
     assert [r.doc_id for r in found][1:] == sorted(r.doc_id for r in found[1:]) and found[0].doc_id is None
