@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, in_order, joined_units, keep_columns, out_schema, text_slices
+from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, in_order, joined_units, keep_columns, map_texts, out_schema, text_slices
 
 
 class RankQueue:
@@ -211,7 +211,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
                 ends = np.append(0, np.cumsum(counts)).astype(np.int32)
                 yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -227,7 +227,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
                 part = batch.slice(lo, 128)
                 yield keep_columns(part, names, {out: pa.array([codec.decode(x) for x in part.column(ids).to_pylist()], pa.binary())})
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of an Arrow batch of texts at most (a longer text is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of BATCH_BYTES: the session's own bound is lowered if it is above."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not conf.get(key).removesuffix("b").isdigit() or int(conf.get(key).removesuffix("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(cols or ["*"]))
 

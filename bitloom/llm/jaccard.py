@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Words, cut, documents, mix, text_slices
+from bitloom.llm.common import Words, cut, documents, map_texts, mix, text_slices
 from bitloom.llm.components import components, local_components
 
 #: Classes that meet in one block.
@@ -206,7 +206,7 @@ def candidate_links(sets: DataFrame, texts: DataFrame, t: Threshold, width: int)
             a, b = local_components(a, np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    dealt = texts.mapInArrow(deal, "bucket int, sigs binary, docs binary")
+    dealt = map_texts(texts, deal, "bucket int, sigs binary, docs binary")
     return dealt.repartition(buckets, "bucket").select("bucket", "sigs", "docs").mapInArrow(meet, "a bigint, b bigint")
 
 
@@ -323,7 +323,7 @@ def _search(blocks: DataFrame, t: Threshold, width: int) -> DataFrame:
 
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(parts, "b1", "b2", "b3").sortWithinPartitions("b1", "b2", "b3", "doc")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_texts(dealt, run, "a bigint, b bigint")
 
 
 def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -345,7 +345,7 @@ def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", w
                     names=["doc", "n_shingles", "digest"],
                 )
 
-    sets = cut(texts.mapInArrow(measure, "doc bigint, n_shingles bigint, digest binary"))
+    sets = cut(map_texts(texts, measure, "doc bigint, n_shingles bigint, digest binary"))
     leads = sets.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("lead"))
     led = cut(sets.join(leads, "digest", "left").select("doc", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("lead")), F.col("doc")).alias("lead")))
     clusters = components(candidate_links(sets, texts, t, width)).withColumnsRenamed({"node": "doc", "component": "cluster"})

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Words, crc_mod, cut, documents, hash_bytes, mix, text_slices
+from bitloom.llm.common import Words, crc_mod, cut, documents, hash_bytes, map_texts, mix, text_slices
 
 VOCABULARY, WIDTH = 1024, 16
 FREQUENT = 65_536
@@ -77,7 +77,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_texts(docs, run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -238,7 +238,7 @@ def train(training: DataFrame, counts: Counts) -> tuple[Model, np.ndarray]:
             values = np.concatenate([trained.r1, trained.r2, trained.q, trained.b[:, None]], 1) * total
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY)), pa.array(np.full(VOCABULARY, total)), *(pa.array(c) for c in np.ascontiguousarray(values.T))], names=["row", "weight", *columns])
 
-    sums = training.mapInArrow(run, ", ".join(["row bigint", "weight double", *(f"{c} double" for c in columns)]))
+    sums = map_texts(training, run, ", ".join(["row bigint", "weight double", *(f"{c} double" for c in columns)]))
     means = sums.groupBy("row").agg(*((F.sum(c) / F.sum("weight")).alias(c) for c in columns)).orderBy("row").toArrow()
     if not len(means):
         model = Model.start(unigram)
@@ -389,7 +389,7 @@ def lm_scores(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str
         )
 
     counts_tokens = counts.tokens
-    first = own.mapInArrow(score, _ROWS).repartition(buckets, "bucket").mapInArrow(look_up, "bucket int, docs binary, sums binary")
+    first = map_texts(own, score, _ROWS).repartition(buckets, "bucket").mapInArrow(look_up, "bucket int, docs binary, sums binary")
     out = first.repartition(buckets, "bucket").mapInArrow(add_up, "doc bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("doc", doc)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Words, crc_mod, documents, keep_columns, mix, out_schema, prefix_hash, text_slices
+from bitloom.llm.common import Words, crc_mod, documents, keep_columns, map_texts, mix, out_schema, prefix_hash, text_slices
 from bitloom.llm.sample import bounded, fit_in_task
 
 #: Labelled texts that the model is fitted on, at most twice as many.
@@ -127,7 +127,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
             for lo, hi, data, offsets in text_slices(batch.column(text)):
                 yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.array(shared.value.scores(data, offsets))})
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def held_out(key: Column) -> Column:

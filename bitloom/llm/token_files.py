@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from bitloom.llm import files
-from bitloom.llm.common import UnitMemory, documents, in_order, joined_units, keep_columns, out_schema, shared_path, text_slices
+from bitloom.llm.common import UnitMemory, documents, in_order, joined_units, keep_columns, map_texts, out_schema, shared_path, text_slices
 
 BLOCK = 512
 MAGIC = b"DACIDS1\n"
@@ -320,7 +320,7 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = None, text:
                 ids, counts = own.encode_run(data, offsets, end_id)
                 yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))})
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def write(df: DataFrame, path: str, bits: int = 8) -> None:
