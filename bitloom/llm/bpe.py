@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,11 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
-        self.tokens = {i: t for t, i in ranks.items()}
+        self.widths = np.full(max(ranks.values()) + 1, -1, np.int64)
+        by_id = sorted((i, t) for t, i in ranks.items())
+        self.widths[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
+        self.flat = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
+        self.at = np.cumsum(np.maximum(self.widths, 0)) - np.maximum(self.widths, 0)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pair_keys = np.array(sorted(pairs), np.int64)
@@ -166,8 +171,16 @@ class Codec:
         """(ids of all texts in a row, number of ids of each)."""
         return self.memory.encode(texts)
 
+    def decode_run(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Bytes of each run of ids, as a binary array."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.widths) and self.widths[ids].min() >= 0):
+            raise ValueError("an id stands for no token")
+        widths = self.widths[ids]
+        offsets = np.append(0, np.cumsum(group_sums(widths, counts)))
+        return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(gather(self.flat, self.at[ids], widths))]).cast(pa.binary())
+
     def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids or ()))
+        return self.decode_run(np.array(ids or [], np.int64), np.array([len(ids or ())], np.int64))[0].as_py()
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -193,23 +206,23 @@ def _codec(spark: SparkSession, path: str, pattern: str):
     return get
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", keep_text: bool = True) -> DataFrame:
-    """Adds the ids of each text as array<int>.
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """Adds the ids of each text as array<int>; with `decoded`, also a column of that name with the bytes that these ids decode to.
 
     Null and empty texts give an empty array; other columns pass through whatever they hold, except that a column
     named like `out` is replaced. Rows aren't moved between partitions, so ties and repeated rows stay as they are.
     """
     get = _codec(df.sparkSession, ranks_path, pattern)
-    schema = out_schema(df, () if keep_text else (text,), f"`{out}` array<int>")
-    names = schema.names[:-1]
+    schema = out_schema(df, () if keep_text else (text,), f"`{out}` array<int>" + (f", `{decoded}` binary" if decoded else ""))
+    names = [n for n in schema.names if n not in (out, decoded)]
 
     def run(batches):
         codec = get()
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(text)):
                 ids, counts = codec.memory.encode_run(data, offsets)
-                ends = np.append(0, np.cumsum(counts)).astype(np.int32)
-                yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
+                new = {out: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids.astype(np.int32)))}
+                yield keep_columns(batch.slice(lo, hi - lo), names, new | ({decoded: codec.decode_run(ids, counts)} if decoded else {}))
 
     return map_texts(df, run, schema)
 
@@ -225,7 +238,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                yield keep_columns(part, names, {out: pa.array([codec.decode(x) for x in part.column(ids).to_pylist()], pa.binary())})
+                lists = part.column(ids)
+                counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                yield keep_columns(part, names, {out: codec.decode_run(np.array(lists.flatten(), np.int64), counts)})
 
     return map_texts(df, run, schema)
 
@@ -235,8 +250,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     at, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode(documents(spark, sf_dir, "doc_id", "text"), at, pattern, keep_text=False)
-    return decode(ids, at, pattern).select(
+    return encode(documents(spark, sf_dir, "doc_id", "text"), at, pattern, keep_text=False, decoded="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -43,9 +43,10 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the byte-level BPE ids of the texts; round_trip tells whether decoding them gives the text's bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return out.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    out = bpe.encode(docs, path, pattern, decoded="_decoded")
+    same = F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    own = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]  # columns of these names are replaced
+    return out.select(*own, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [

@@ -57,6 +57,10 @@ def test_frame(spark, reference):
     for r in found:
         assert r.token_ids == reference.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encode(df.limit(0), at, public_tokenizers.PATTERN).count() == 0
+    both = bpe.encode(df, at, public_tokenizers.PATTERN, decoded="decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, found)) and both.columns == out.columns
+    with pytest.raises(Exception, match="no token"):
+        bpe.decode(spark.createDataFrame([([60_000],)], "token_ids array<int>"), at, public_tokenizers.PATTERN).collect()
 
 
 @pytest.mark.parametrize("bits", [4, 8, 16])
