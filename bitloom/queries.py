@@ -371,11 +371,11 @@ def rounding_modes(spark, sf_dir):
     return sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("total")) for m in modes])).alias("r")).select("r.*")
 
 
-@query("SELECT p_partkey, CAST(p_partkey AS BIGINT) AS octal, CAST(p_partkey AS BIGINT) AS hexa, CAST(p_size AS BIGINT) AS binary FROM part")
+@query("SELECT p_partkey, CAST(p_partkey AS BIGINT) AS octal, CAST(p_partkey AS BIGINT) AS hexa, CAST(p_size AS BIGINT) AS bits FROM part")
 def radix_text(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     t = table(spark, sf_dir, "part").select("p_partkey", F.conv(k, 10, 8).alias("a"), F.conv(k, 10, 16).alias("b"), F.bin("p_size").alias("c"))
-    return t.select("p_partkey", X.radix(F.col("a"), 8).alias("octal"), X.radix(F.col("b"), 16).alias("hexa"), X.radix(F.col("c"), 2).alias("binary"))
+    return t.select("p_partkey", X.radix(F.col("a"), 8).alias("octal"), X.radix(F.col("b"), 16).alias("hexa"), X.radix(F.col("c"), 2).alias("bits"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS by_text, strftime(o_orderdate, '%Y-%m-%d') AS by_bcd, epoch_us(date_trunc('second', o_orderdate)) AS by_epoch, year(o_orderdate) AS y FROM orders")
