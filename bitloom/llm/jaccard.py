@@ -396,4 +396,4 @@ def _across(wide: DataFrame, found: DataFrame) -> DataFrame:
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles at 0.85."""
-    return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
+    return jaccard_components(documents(spark, sf_dir, "doc_id", "text"), width=4, num=85, den=100)

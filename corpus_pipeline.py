@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import bpe, decontaminate, jaccard, langid, secrets
-from bitloom.llm.common import shared_path
+from bitloom.llm.common import cut, shared_path
 
 #: A text is rejected by the first stage if it has no letter or its language's share is below this.
 LANGUAGE_SHARE = 0.5
+#: Near duplicates: words of a shingle, and the least Jaccard similarity as num / den.
+SHINGLE = {"width": 5, "num": 80, "den": 100}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +23,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of similar documents; rows without a doc_id stay."""
-    found = jaccard.jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps the smallest doc_id of each component of similar documents, and one of rows that are equal in all columns; other rows without a doc_id stay."""
+    found = jaccard.jaccard_components(docs, **SHINGLE).where("doc_id is not null")
+    marks = found.groupBy("doc_id").agg(F.max(F.expr("doc_id <> component_id")).alias("gone"), (F.count("*") > 1).alias("again"))
+    marks = cut(marks.where("gone or again"))
+    once = docs.where("doc_id is not null").join(marks, "doc_id", "left_anti")
+    more = docs.join(marks.where("not gone"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).dropDuplicates()
+    return once.select(docs.columns).unionByName(more.select(docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,17 @@ def test_stages_take_odd_rows(spark):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_near_duplicates_take_five_words_at_four_fifths(spark):
+    words = lambda k, n: [f"{k}w{i}" for i in range(n)]
+    edited = words("b", 94)
+    edited[30] = edited[60] = "other"
+    far = words("c", 94)
+    far[20] = far[40] = far[60] = "other"
+    texts = [words("a", 100), words("a", 100) + words("x", 20), words("b", 94), edited, words("c", 94), far]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(2, rows[2][1]), (2, "another text of this id"), (10, "a b"), (10, "a b"), (None, "c d"), (None, "c d"), (None, "c e"), (11, None), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()), key=repr)
+    assert got == sorted([rows[k] for k in (0, 2, 4, 5, 7, 8, 10, 12, 13)], key=repr)
