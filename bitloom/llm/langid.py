@@ -24,6 +24,8 @@ SAMPLE_ROWS = 3000
 PIECE_BYTES, WORD_BYTES = 12, 40
 ROUNDS = 5
 UNKNOWN = "und"
+#: Every so manyth sample text is held out for floors(); standard errors that a text's rate may be below its language's floor.
+FLOOR_SHARE, FLOOR_ERRORS = 5, 2.0
 MARK = "▁"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -172,27 +174,83 @@ def train(df: DataFrame, vocabulary_path: str, text: str = "text", label: str =
     return pieces, *fit_in_task(rows, lambda t: fit(pieces, t.column(0).to_pylist(), t.column(1).to_pylist()))
 
 
-def identify(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
+def rates(pieces: Pieces, p: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probabilities, characters) of words, the former by language."""
+    sums, inverse = prefix_hash(data)
+    _, first, same = np.unique(mix((sums[ends] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
+    heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    return word_log_probs(pieces, p, data, starts[first], ends[first])[same], np.maximum(heads[ends] - heads[starts], 1)
+
+
+def learn_floors(pieces: Pieces, texts: list[str], labels: list[str]) -> np.ndarray:
+    """(least log probability per character of a text in the language, spread of that of its words), per language of fit().
+
+    A part of the texts is held out. The floor lies midway between the medians of the language's own texts and of the likest noise: texts
+    of another language or the own ones with the letters of each word in another order.
+    """
+    languages = sorted(set(labels))
+    learned = [k for k in range(len(texts)) if k % FLOOR_SHARE] or list(range(len(texts)))
+    known, p = fit(pieces, [texts[k] for k in learned], [labels[k] for k in learned])
+    out = np.full((max(len(languages), 1), 2), (-np.inf, 0.0))
+    rng = np.random.default_rng(3)
+    shuffled = lambda t: " ".join("".join(rng.permutation(list(w))) for w in t.lower().split())
+
+    def measure(texts):
+        data = _LOWER[np.frombuffer("\n".join(texts).encode(), np.uint8)]
+        offsets = np.append(0, np.cumsum([len(t.encode()) + 1 for t in texts], dtype=np.int64))
+        starts, ends, rows = words_of(data, np.minimum(offsets, len(data)))
+        if not len(starts):
+            return np.empty((0, len(known))), np.empty((0, len(known)))
+        logs, n = rates(pieces, p, data, starts, ends)
+        sums = np.stack([np.bincount(rows, x, minlength=len(texts)) for x in logs.T], 1)
+        size = np.bincount(rows, n, minlength=len(texts))
+        return sums[size > 0] / size[size > 0, None], logs / n[:, None]
+
+    parts = {}
+    for x in known:
+        own = [k for k in range(len(texts)) if labels[k] == x]
+        parts[x] = [texts[k] for k in own if k % FLOOR_SHARE == 0] or [texts[k] for k in own]
+    found = {x: measure(own) for x, own in parts.items()}
+    for g, x in enumerate(known):
+        own, words = found[x]
+        if not len(own):
+            continue
+        noise = [measure([shuffled(t) for t in parts[x]])[0], *(found[y][0] for y in known if y != x)]
+        level = np.median(own[:, g])
+        likest = max(float(np.median(r[:, g])) for r in noise if len(r))
+        out[languages.index(x)] = (min((level + likest) / 2, level), words[:, g].std())
+    return out
+
+
+def floors(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """learn_floors() on the rows that train() takes."""
+    own = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, text, label)
+    rows = bounded(own, F.col(key), sample_rows).select(text, label)
+    pieces = model[0]
+    return fit_in_task(rows, lambda t: learn_floors(pieces, t.column(0).to_pylist(), t.column(1).to_pylist()))
+
+
+def identify(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str = "text", keep_text: bool = True, least: np.ndarray | None = None) -> DataFrame:
     """Adds lang_pred and score (the language's share of the text's probability, 0 to 1).
 
-    A null text, or one without a letter, is `und` with score 0. Other columns pass through; lang_pred and score are replaced. No row moves.
+    A null text, or one without a letter, is `und` with score 0, and so is, if `least` (of floors()) is given, one whose log probability per
+    character is more than FLOOR_ERRORS standard errors of its words' mean below the language's floor. Other columns pass through; lang_pred and score are replaced. No row moves.
     """
     pieces, languages, p = model
-    shared = df.sparkSession.sparkContext.broadcast((pieces, p))  # the vocabulary's size is fixed
+    shared = df.sparkSession.sparkContext.broadcast((pieces, p, least))  # the vocabulary's size is fixed
     schema = out_schema(df, () if keep_text else (text,), "lang_pred string, score double")
     names = schema.names[:-2]
 
     def run(batches):
-        own, prob = shared.value
+        own, prob, floor = shared.value
         for batch in batches:
             for lo, hi, raw, offsets in text_slices(batch.column(text)):
                 data = _LOWER[raw]
                 starts, ends, rows = words_of(data, offsets)
-                total = np.zeros((hi - lo, max(len(languages), 1)))
+                total, size = np.zeros((hi - lo, max(len(languages), 1))), np.ones(hi - lo)
                 if len(starts):
-                    sums, inverse = prefix_hash(data)
-                    _, first, same = np.unique(mix((sums[ends] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
-                    logs = word_log_probs(own, prob, data, starts[first], ends[first])[same]
+                    logs, n = rates(own, prob, data, starts, ends)
+                    size = np.maximum(np.bincount(rows, n, minlength=hi - lo), 1)
                     for g in range(logs.shape[1]):
                         total[:, g] = np.bincount(rows, logs[:, g], minlength=hi - lo)
                 share = np.exp(total - total.max(1, keepdims=True))
@@ -203,6 +261,9 @@ def identify(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: s
                 for k in np.flatnonzero(some & ~ascii_letters).tolist():
                     some[k] = any(c.isalpha() for c in raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))
                 some &= bool(languages)
+                if floor is not None:
+                    words = np.maximum(np.bincount(rows, minlength=hi - lo), 1)
+                    some &= total[np.arange(hi - lo), best] / size >= floor[best, 0] - FLOOR_ERRORS * floor[best, 1] / np.sqrt(words)
                 yield keep_columns(
                     batch.slice(lo, hi - lo),
                     names,
@@ -225,6 +286,10 @@ def fitted(spark: SparkSession, docs: DataFrame) -> tuple[Pieces, list[str], np.
     return train(docs.where(~held_out(F.col("doc_id"))), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def fitted_floors(docs: DataFrame, model: tuple[Pieces, list[str], np.ndarray]) -> np.ndarray:
+    return floors(docs.where(~held_out(F.col("doc_id"))), model)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those that aren't held out."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bitloom.llm import bpe, decontaminate, jaccard, langid, secrets
 from bitloom.llm.common import cut, shared_path
 
-#: A text is rejected by the first stage if it has no letter or its language's share is below this.
+#: A text is rejected by the first stage if it has no letter, is too unlikely a character in its likeliest language, or that language's share is below this.
 LANGUAGE_SHARE = 0.5
 #: Near duplicates: words of a shingle, and the least Jaccard similarity as num / den.
 SHINGLE = {"width": 5, "num": 80, "den": 100}
@@ -17,7 +17,9 @@ SHINGLE = {"width": 5, "num": 80, "den": 100}
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is in a known language."""
-    found = langid.identify(docs.withColumnsRenamed({"lang_pred": "_kept_lang_pred", "score": "_kept_score"}), langid.fitted(spark, docs))
+    model = langid.fitted(spark, docs)
+    own = docs.withColumnsRenamed({"lang_pred": "_kept_lang_pred", "score": "_kept_score"})
+    found = langid.identify(own, model, least=langid.fitted_floors(docs, model))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"_kept_lang_pred": "lang_pred", "_kept_score": "score"}).select(docs.columns)
 

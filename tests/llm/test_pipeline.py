@@ -1,5 +1,8 @@
 """The corpus pipeline against plain versions of its stages."""
 
+import random
+import string
+
 import public_tokenizers
 import tiktoken
 
@@ -59,3 +62,23 @@ def test_near_duplicates_take_five_words_at_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()), key=repr)
     assert got == sorted([rows[k] for k in (0, 2, 4, 5, 7, 8, 10, 12, 13)], key=repr)
+
+
+def test_language_rejects_foreign_texts_and_noise(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(4)
+    noise = "".join(rng.choices(string.ascii_lowercase, k=600))
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+    ]
+    bad = [*foreign, *(" ".join([t] * 50) for t in foreign), "x" * 500, noise, " ".join(noise[k : k + 6] for k in range(0, 600, 6))]
+    held = docs.where(langid.held_out(docs.doc_id) & docs.lang.isNotNull()).collect()
+    short = [" ".join(r.text.split()[:n]) for r in held for n in (3, 8)]
+    rows = [(-1 - k, t, None, None, len(t)) for k, t in enumerate(bad)] + [(10_000_000 + k, t, None, None, len(t)) for k, t in enumerate(short)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), DATA).collect()}
+    assert not [bad[-1 - k][:40] for k in kept if k < 0]
+    assert sum(k >= 10_000_000 for k in kept) >= 0.99 * len(short)
+    assert {r.doc_id for r in held} <= kept
