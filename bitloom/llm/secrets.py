@@ -1,8 +1,8 @@
 """Secret scans: three fixed patterns, and format likelihood under inferred automata for every other candidate.
 
-Candidates are maximal runs of 20 to 400 characters of [A-Za-z0-9+/_.=-] with both letters and digits. A candidate is
-added where the automaton of some credential format leads the one of ordinary strings by MARGIN nats a character
-and the candidate does not overlap a base span.
+Candidates are maximal runs of 20 or more characters of [A-Za-z0-9+/_.=-] with both letters and digits; where base spans lie in a
+run, what is left of it beside and between them, without separators at the cut. A candidate is added where the automaton of some
+credential format leads the one of ordinary strings by MARGIN nats a character.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "grammar")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 MARGIN = 1.5
-CANDIDATE = (20, 400)
+CANDIDATE = 20
+#: What parts a piece of a run from the base span beside it.
+SEPARATORS = "+/_.=-"
 
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -54,6 +56,21 @@ def places(data: bytes, needle: bytes) -> list[int]:
     return found
 
 
+def _outside(lo: int, hi: int, spans: list[tuple]) -> list[tuple[int, int]]:
+    """The parts of lo to hi that no span covers. Spans are in descending order; the last ones are taken off as far as they end before lo."""
+    while spans and spans[-1][1] <= lo:
+        spans.pop()
+    out = []
+    for s, e in reversed(spans):
+        if s >= hi:
+            break
+        if e > lo:
+            if s > lo:
+                out.append((lo, s))
+            lo = e
+    return [*out, (lo, hi)] if lo < hi else out
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, models) -> dict[int, list[tuple]]:
     """Spans by row: (start, kind's number, end, format, score), in code points, sorted."""
     raw = data.tobytes()
@@ -73,19 +90,20 @@ def scan(data: np.ndarray, offsets: np.ndarray, models) -> dict[int, list[tuple]
     starts, ends = runs(data, offsets, _HEX, MIN_HEX)
     for k, a, b in zip(row_of(starts).tolist(), starts.tolist(), ends.tolist()):
         rows.setdefault(k, []).append((a, 2, b, "", None))
-    starts, ends = runs(data, offsets, _RUN, CANDIDATE[0])
-    for k, a, b in zip(row_of(starts).tolist(), starts.tolist(), ends.tolist()):
-        text = raw[a:b].decode()
-        while text and text[-1] in ".=":  # the sentence's, or padding
-            text = text[:-1]
-        b = a + len(text)
-        if not CANDIDATE[0] <= len(text) <= CANDIDATE[1] or not re.search("[0-9]", text) or not re.search("[A-Za-z]", text):
-            continue
-        if any(a < e and s < b for s, _, e, *_ in rows.get(k, ())):
-            continue
-        kind, score = best_kind(models, text)
-        if score >= MARGIN:
-            rows.setdefault(k, []).append((a, 3, b, kind, score))
+    base = {k: sorted(((a, b) for a, _, b, *_ in own), reverse=True) for k, own in rows.items()}
+    starts, ends = runs(data, offsets, _RUN, CANDIDATE)
+    for k, lo, hi in zip(row_of(starts).tolist(), starts.tolist(), ends.tolist()):
+        for a, b in _outside(lo, hi, base.get(k, [])):
+            text = raw[a:b].decode()
+            if a > lo:
+                text = text.lstrip(SEPARATORS)
+                a = b - len(text)
+            text = text.rstrip(".=" if b == hi else SEPARATORS)  # the sentence's, or padding
+            if len(text) < CANDIDATE or not re.search("[0-9]", text) or not re.search("[A-Za-z]", text):
+                continue
+            kind, score = best_kind(models, text)
+            if score >= MARGIN:
+                rows.setdefault(k, []).append((a, 3, a + len(text), kind, score))
     out = {}
     for k, spans in rows.items():
         lo, hi = int(offsets[k]), int(offsets[k + 1])

@@ -174,6 +174,21 @@ def test_secrets(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_in_long_runs_and_beside_base_spans(spark):
+    rng = random.Random(6)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, extra="": "".join(rng.choices(alnum + extra, k=n))
+    access, git, hexes = "AKIA" + "Q7" * 8, "ghp_" + draw(36), "0a" * 12
+    web = "eyJ" + draw(33) + ".eyJ" + draw(500) + "." + draw(43, "-_")
+    body = draw(64, "+/") * 20
+    texts = [f"see {web} here", f"see {body} here", f"see {access}/{draw(40)}. End", f"see {hexes}/{git} here", f"see {git}/{hexes}/{git} here", f"see {access}/short1 here", "see " + "interesting" * 60 + "7 here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    hidden = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert hidden[:2] == ["see [SECRET] here"] * 2
+    assert hidden[2:5] == ["see [SECRET]/[SECRET]. End", "see [SECRET]/[SECRET] here", "see [SECRET]/[SECRET]/[SECRET] here"]
+    assert hidden[5] == "see [SECRET]/short1 here" and hidden[6] == texts[6]
+
+
 def test_automata_tell_formats_apart():
     models = automata.train(automata.labelled_samples())
     unseen = automata.labelled_samples(40, seed=99)
