@@ -185,8 +185,8 @@ def rates(pieces: Pieces, p: np.ndarray, data: np.ndarray, starts: np.ndarray, e
 def learn_floors(pieces: Pieces, texts: list[str], labels: list[str]) -> np.ndarray:
     """(least log probability per character of a text in the language, spread of that of its words), per language of fit().
 
-    A part of the texts is held out. The floor lies midway between the medians of the language's own texts and of the likest noise: texts
-    of another language or the own ones with the letters of each word in another order.
+    A part of the texts is held out. The floor lies three quarters of the way from the median of the own texts to that of the likest noise: texts of another language or the own ones with the
+    letters of each word in another order. Texts that mix learned languages lie above it.
     """
     languages = sorted(set(labels))
     learned = [k for k in range(len(texts)) if k % FLOOR_SHARE] or list(range(len(texts)))
@@ -218,7 +218,7 @@ def learn_floors(pieces: Pieces, texts: list[str], labels: list[str]) -> np.ndar
         noise = [measure([shuffled(t) for t in parts[x]])[0], *(found[y][0] for y in known if y != x)]
         level = np.median(own[:, g])
         likest = max(float(np.median(r[:, g])) for r in noise if len(r))
-        out[languages.index(x)] = (min((level + likest) / 2, level), words[:, g].std())
+        out[languages.index(x)] = (min((level + 3 * likest) / 4, level), words[:, g].std())
     return out
 
 
