@@ -72,6 +72,14 @@ def crc_mod(col, n: int):
     return F.crc32(col.cast("string")) % n
 
 
+def free_name(name: str, *dfs: DataFrame) -> str:
+    """name, or name with underscores before it if any of dfs has a column of that name (in either case of letters)."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 # -- bytes of an Arrow text column -------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -198,8 +206,8 @@ _LETTER = _bytes(*(c for c in range(0x41, 0x7B) if chr(c).isalpha()))
 _LATIN_LETTER = _bytes(*(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)))
 
 
-def unit_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ascending places that cut the texts into units, text borders among them.
+def unit_offsets(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Ascending places that cut the texts into units, text borders among them; none lies inside one of the strings `whole`.
 
     Cuts are before each single space or line feed that stands between two characters that aren't white space, after such a line feed, and
     between a Latin letter and ASCII punctuation. No match of the usual byte-level pre-tokenizer pattern (words, numbers or other
@@ -218,6 +226,14 @@ def unit_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     marks = np.flatnonzero(_PUNCTUATION[data])
     last = before[marks + 2]
     edge[marks[_LETTER[last] | (_LATIN_LETTER[last] & (before[marks + 1] == 0xC3))]] = True
+    if whole:
+        raw, border = data.tobytes(), np.zeros(len(edge), bool)
+        border[offsets] = True
+        for w in whole:
+            at = raw.find(w)
+            while at >= 0:
+                edge[at + 1 : at + len(w)] &= border[at + 1 : at + len(w)]
+                at = raw.find(w, at + 1)
     return np.flatnonzero(edge)
 
 
@@ -252,11 +268,11 @@ class UnitMemory:
     """Ids of texts, each distinct unit being encoded once while it is remembered.
 
     encode_units(list of units) -> (all their ids, number per unit). When more than `bound` units or eight times as many ids
-    are held, the rarely used ones are forgotten; results don't depend on that.
+    are held, the rarely used ones are forgotten; results don't depend on that. Without `cuts`, a unit is a whole text; strings in `whole` are never cut.
     """
 
-    def __init__(self, encode_units, bound: int = 400_000):
-        self.encode_units, self.bound = encode_units, bound
+    def __init__(self, encode_units, bound: int = 400_000, cuts: bool = True, whole: tuple[bytes, ...] = ()):
+        self.encode_units, self.bound, self.cuts, self.whole = encode_units, bound, cuts, whole
         self.known = Numbering()
         self.ids = np.empty(0, np.int32)
         self.starts, self.counts, self.uses = (np.empty(0, np.int32) for _ in range(3))
@@ -286,7 +302,7 @@ class UnitMemory:
         """(ids of all texts in a row, number of ids of each text) of a run as text_slices gives it."""
         if len(self.known) > self.bound or len(self.ids) > 8 * self.bound:
             self.forget()
-        cuts = unit_offsets(data, offsets)
+        cuts = unit_offsets(data, offsets, self.whole) if self.cuts else np.unique(offsets)
         n = len(cuts) - 1
         found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         distinct = found.dictionary.to_pylist()
@@ -312,6 +328,10 @@ def joined_units(units: list[str]) -> tuple[list[str], np.ndarray, list[str]]:
     """
     held, flags, apart = [], [], []
     for u in units:
+        if not u:
+            flags.append(False)
+            apart.append(u)
+            continue
         body = u[1:] if u[0] == " " else u
         flags.append(joins := body.split() == [body])
         if joins:

@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 
 def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About `rows` rows of df, never more than twice as many, chosen by a hash of the key: all of them if df has no more."""
+    """About `rows` rows of df, never more than twice as many, chosen by a hash of the key: all of them if df has no more. The plan is the same at every size."""
     n = df.count()
-    if n <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 40)) < int((1 << 40) * rows / n)).limit(2 * rows)
+    return df.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, rows / max(n, 1)))).limit(2 * rows)
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
@@ -28,5 +26,5 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
         table = pa.Table.from_batches(list(batches), to_arrow_schema(schema))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
 
-    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()  # an exchange: the scan and joins before it keep their tasks
     return pickle.loads(found["model"]) if found else fit(rows.limit(0).toArrow())  # no partition, no task
