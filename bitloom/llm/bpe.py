@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, in_order, joined_units, keep_columns, map_texts, out_schema, text_slices
 
 
+#: Pre-token patterns whose matches never run across the cuts of `common.unit_offsets` (fixed values); texts under another pattern stay whole.
+CUT_PATTERNS = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"})
+
+
 class RankQueue:
     """Positions by rank: push() files an array of them, pop() hands out the lowest rank's bucket.
 
@@ -80,7 +84,9 @@ class Codec:
     """Encoder and decoder for one table of ranks (token bytes -> id, which is also its merge rank)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.find = lambda text: [m[0] for m in compiled.finditer(text)] if compiled.groups else compiled.findall(text)
+        self.apart = pattern not in CUT_PATTERNS
         self.widths = np.full(max(ranks.values()) + 1, -1, np.int64)
         by_id = sorted((i, t) for t, i in ranks.items())
         self.widths[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
@@ -95,7 +101,7 @@ class Codec:
         self.careful = set(left[self.pair_ranks < left].tolist()) | set(right[self.pair_ranks < right].tolist())
         # Whole pre-tokens that are tokens are taken as they are; where merges reach the same, this changes nothing.
         self.whole = {t.decode("utf-8", "ignore"): i for t, i in ranks.items() if t.decode("utf-8", "ignore").encode() == t}
-        self.memory = UnitMemory(self.encode_units)
+        self.memory = UnitMemory(self.encode_units, cuts=not self.apart)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank at which each pair merges, or -1; an id below 0 stands for the end of a pre-token."""
@@ -148,12 +154,12 @@ class Codec:
         return ids[:n][alive], np.bincount(owner[alive], minlength=len(pieces))
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, by pre-token. Most units are searched for pre-tokens as one string."""
-        held, flags, apart = joined_units(units)
+        """Ids of units, by pre-token. Most units are searched for pre-tokens as one string, unless the pattern is an unknown one."""
+        held, flags, apart = ([], np.zeros(len(units), bool), units) if self.apart else joined_units(units)
         found, more = self.find("".join(held)), [self.find(u) for u in apart]
         ends = np.cumsum([len(u) for u in held], dtype=np.int64)
         last = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends, "right")
-        first = np.append(0, last)[:-1]
+        first = np.append(0, last)[:-1].astype(np.int64)
         fed = np.array([u[0] == "\n" for u in held], bool)
         n = np.concatenate([last - first - fed, [len(f) for f in more]]).astype(np.int64)
         numbers = Numbering()
@@ -209,8 +215,8 @@ def _codec(spark: SparkSession, path: str, pattern: str):
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """Adds the ids of each text as array<int>; with `decoded`, also a column of that name with the bytes that these ids decode to.
 
-    Null and empty texts give an empty array; other columns pass through whatever they hold, except that a column
-    named like `out` is replaced. Rows aren't moved between partitions, so ties and repeated rows stay as they are.
+    With a pattern that isn't in CUT_PATTERNS, texts are searched for pre-tokens whole, and what the pattern doesn't match has no ids. Null and empty texts
+    give an empty array; other columns pass through whatever they hold, except that a column named like `out` is replaced. Rows aren't moved between partitions, so ties and repeated rows stay as they are.
     """
     get = _codec(df.sparkSession, ranks_path, pattern)
     schema = out_schema(df, () if keep_text else (text,), f"`{out}` array<int>" + (f", `{decoded}` binary" if decoded else ""))

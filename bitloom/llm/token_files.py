@@ -99,28 +99,49 @@ def write_file(path: str, doc_ids: list[int | None], counts: np.ndarray, ids: np
             f.write(np.ascontiguousarray(s).tobytes())
 
 
+class Section:
+    """An array in an open file; an index or a slice reads the bytes that it covers and no others."""
+
+    def __init__(self, source, at: int, dtype: str, n: int):
+        self.source, self.at, self.dtype, self.n = source, at, np.dtype(dtype), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, key):
+        if isinstance(key, slice):
+            lo, hi, _ = key.indices(self.n)
+            return np.frombuffer(self.source.read_at(max(hi - lo, 0) * self.dtype.itemsize, self.at + lo * self.dtype.itemsize), self.dtype)
+        return np.frombuffer(self.source.read_at(self.dtype.itemsize, self.at + int(key) * self.dtype.itemsize), self.dtype)[0]
+
+
 class TokenFile:
-    """One file opened for reading. token(i) and document(k) touch only what they need of the levels."""
+    """One file opened for reading: header and document table are read at once; token(i) and document(k) read what they need of the levels."""
 
     def __init__(self, path: str):
-        with files.open_input(path) as f:
-            raw = f.read()
-        if raw[: len(MAGIC)] != MAGIC:
+        self.source = files.open_input(path)
+        head = self.source.read_at(len(MAGIC) + 4, 0)
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError(f"{path} is not a token-id file")
-        at = len(MAGIC) + 4
-        size = int.from_bytes(raw[at - 4 : at], "little")
-        header = json.loads(raw[at : at + size])
+        at, size = len(MAGIC) + 4, int.from_bytes(head[len(MAGIC) :], "little")
+        header = json.loads(self.source.read_at(size, at))
         at += size
         parts = []
         for dtype, n in header["sections"]:
-            parts.append(np.frombuffer(raw, dtype, n, at))
-            at += parts[-1].nbytes
+            parts.append(Section(self.source, at, dtype, n))
+            at += n * parts[-1].dtype.itemsize
         self.bits, self.tokens = header["bits"], header["tokens"]
-        known = np.unpackbits(parts[1], bitorder="little")[: header["docs"]]
-        self.doc_ids = [int(d) if k else None for d, k in zip(parts[0], known)]
-        self.offsets = parts[2]
+        known = np.unpackbits(parts[1][:], bitorder="little")[: header["docs"]]
+        self.doc_ids = [int(d) if k else None for d, k in zip(parts[0][:], known)]
+        self.offsets = parts[2][:]
         self.levels = [tuple(parts[i : i + 3]) for i in range(3, len(parts), 3)]
 
+    def __enter__(self) -> "TokenFile":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.source.close()
+
     def token(self, i: int) -> int:
         if not 0 <= i < self.tokens:
             raise IndexError(i)
@@ -239,40 +260,55 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File):
         if not partition.path:
             return
-        f = TokenFile(partition.path)
-        for lo in range(0, len(f.doc_ids), 256):
-            hi = min(lo + 256, len(f.doc_ids))
-            starts = f.offsets[lo : hi + 1]
-            flat = decode_all(f.levels, f.bits, int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
-            cut = ((starts - starts[0]) * 4).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(f.doc_ids[lo:hi], pa.int64()),
-                    pa.array(starts[:-1] + partition.start, pa.int64()),
-                    pa.array(np.diff(starts), pa.int64()),
-                    pa.array([flat[a:b] for a, b in zip(cut, cut[1:])], pa.binary()),
-                ],
-                names=["doc_id", "start", "n_tokens", "ids_le"],
-            )
+        with TokenFile(partition.path) as f:
+            for lo in range(0, len(f.doc_ids), 256):
+                hi = min(lo + 256, len(f.doc_ids))
+                starts = f.offsets[lo : hi + 1]
+                flat = decode_all(f.levels, f.bits, int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
+                cut = ((starts - starts[0]) * 4).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(f.doc_ids[lo:hi], pa.int64()),
+                        pa.array(starts[:-1] + partition.start, pa.int64()),
+                        pa.array(np.diff(starts), pa.int64()),
+                        pa.array([flat[a:b] for a, b in zip(cut, cut[1:])], pa.binary()),
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids_le"],
+                )
 
 
 # -- encoding with the tokenizers library --------------------------------------------------------------
 
 
+def _plain_byte_level(model: dict) -> bool:
+    """Whether the usual byte-level pattern alone cuts texts, so that units can be encoded apart; added tokens may be in the texts."""
+    cutter, added = model.get("pre_tokenizer") or {}, model.get("added_tokens") or []
+    simple = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].isascii() and not any(c.isspace() for c in t["content"]) for t in added)
+    return simple and model.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+
+
 class LibraryEncoder:
-    """The tokenizers library over distinct units: most go to it as one string, cut by byte length after."""
+    """The tokenizers library over distinct units: most go to it as one string, cut by byte length after.
+
+    Strings of added tokens in a text (such as an end mark) get those tokens' ids, as the library's own call gives them. With a tokenizer that isn't plain
+    byte-level, texts go to the library whole.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.memory = UnitMemory(self.encode_units)
+        own = json.loads(model)
+        self.apart = not _plain_byte_level(own)
+        self.memory = UnitMemory(self.encode_units, cuts=not self.apart, whole=tuple(t["content"].encode() for t in own.get("added_tokens") or []))
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.apart:
+            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            return np.concatenate(found), np.array([len(e) for e in found], np.int64)
         held, flags, apart = joined_units(units)
         run = "".join(held)
         first, *rest = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([run, *apart], add_special_tokens=False)]
@@ -343,8 +379,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ordered(df: DataFrame) -> DataFrame:
-    """df ranged and sorted by doc_id (nulls first)."""
-    return df.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    """df ranged and sorted by doc_id (nulls first); rows that share an id by their text, so that equal input has equal places."""
+    return df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
