@@ -5,7 +5,7 @@
    into one part more than that, so some part holds the same members in both sets. Equal parts tie documents into candidate
    clusters; each task reduces its signatures to a star per part before the shuffle, so a group of copies costs
    a row per task and not one per pair.
-3. Search: the classes of a cluster meet in blocks of BLOCK at most. A block has inverted lists of its members; each set
+3. Search: the classes of a cluster meet in blocks of about BLOCK classes or MEMBERS members at most. A block has inverted lists of its members; each set
    asks for all others that hold at least T of its members: short lists are heap-merged, long ones binary-probed, and only sets that
    are not yet in the same component are looked for. What comes out is a spanning forest of the links, not all pairs.
 4. Where a cluster has more than one block, a second round sets blocks against blocks, leaving out those whose members
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Words, cut, documents, map_texts, mix, text_slices
+from bitloom.llm.common import Words, cut, documents, gather, map_texts, mix, text_slices
 from bitloom.llm.components import components, local_components
 
-#: Classes that meet in one block.
-BLOCK = 1024
+#: Classes that meet in one block, and members of their sets; a longer set has a block of its own.
+BLOCK, MEMBERS = 1024, 400_000
 #: Signatures a routing task works on, about.
 TASK_SIGNATURES = 1_500_000
 #: Size of the bitmap that filters texts; a broadcast of a quarter of a million rows at most.
@@ -270,14 +270,14 @@ def block_links(sets: list[np.ndarray], groups: list, t: Threshold) -> list[tupl
         skip = min(least - 1, int(least / (0.01 * np.log2(longest) + 1)))
         short, long = own[rank[: size - skip]], own[rank[size - skip :]]
         smallest = int(np.searchsorted(sizes, -(-t.num * size // t.den)))
-        merged = []
-        for m in short[counts[short] > 1].tolist():
-            x = posted[starts[m] : starts[m] + counts[m]]
-            x = x[(x >= smallest) & (x < q)]
-            x = x[root[x] != root[q]]
-            if len(x):
-                merged.append(x)
-        found = t_occurrence(merged, least - skip)
+        short = short[counts[short] > 1]
+        x = gather(posted, starts[short], counts[short])  # the short lists in a row, without what can't be or is linked
+        open_ = (x >= smallest) & (x < q) & (root[x] != root[q])
+        if np.bincount(x[open_], minlength=1).max() < least - skip:  # no set is in enough of them
+            continue
+        cuts = np.append(0, np.cumsum(open_))[np.append(0, np.cumsum(counts[short]))]
+        x = x[open_]
+        found = t_occurrence([x[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a], least - skip)
         found.sort(key=lambda x: -x[1])  # the likeliest first: once linked, the rest of its component needs no test
         lo, step = 0, 4
         while lo < len(found):
@@ -299,7 +299,7 @@ def _search(blocks: DataFrame, t: Threshold, width: int) -> DataFrame:
     """Links (a, b) within each block; blocks: (b1, b2, b3, doc, label, text), with the blocks' rows together."""
 
     def run(batches):
-        docs, sets, labels, keys, key = [], [], [], 0, None
+        docs, sets, labels, members, key = [], [], [], 0, None
 
         def flush():
             found = block_links(sets, labels, t)
@@ -312,10 +312,11 @@ def _search(blocks: DataFrame, t: Threshold, width: int) -> DataFrame:
                 for (*block, doc, label), s in zip(own[lo:hi], shingle_sets(data, offsets, width)):
                     if block != key:
                         key = block
-                        if len(docs) >= BLOCK:  # small blocks share a search; a link found across them is a true one
+                        if len(docs) >= BLOCK or members >= MEMBERS:  # small blocks share a search; a link found across them is a true one
                             yield from flush()
-                            docs, sets, labels = [], [], []
+                            docs, sets, labels, members = [], [], [], 0
                     docs.append(doc)
+                    members += len(s)
                     sets.append(s)
                     labels.append(label)
         if len(docs) > 1:
@@ -330,8 +331,8 @@ def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", w
     """(doc, n_shingles, component_id) per row of df; component_id is the smallest id reachable over links of similarity >= num/den.
 
     Words are lower-cased in ASCII and cut at ASCII white space. A text with fewer words than `width` has its whole sequence as only
-    member; null and empty texts have none and link with nothing. Rows that share an id are one node; a row without id is
-    returned with no component. Other columns of df are not looked at.
+    member; null and empty texts have none and link with nothing. Rows that share an id are one node, whatever their texts. A row without id ties nothing
+    together: it is returned with the smallest id among the rows of equal set, or none, as component. Other columns of df are not looked at.
     """
     t = Threshold(num, den)
     texts = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -349,16 +350,20 @@ def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", w
     leads = sets.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("lead"))
     led = cut(sets.join(leads, "digest", "left").select("doc", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("lead")), F.col("doc")).alias("lead")))
     clusters = components(candidate_links(sets, texts, t, width)).withColumnsRenamed({"node": "doc", "component": "cluster"})
-    classes = cut(led.where("doc = lead").select("doc").distinct().join(clusters, "doc"))
-    sized = classes.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1")
-    classes = cut(classes.join(sized, "cluster").select("doc", "cluster", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")))
+    weight = F.greatest(F.lit(1 / BLOCK), F.max("n_shingles") / F.lit(float(MEMBERS)))  # a class's share of a block
+    classes = cut(led.where("doc = lead").groupBy("doc").agg(weight.alias("w")).join(clusters, "doc"))
+    sized = classes.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("w").alias("all")).where("k > 1")
+    classes = cut(classes.join(sized, "cluster").select("doc", "cluster", "w", F.ceil("all").cast("long").alias("blocks")))
     # round 1: each block by itself
     alone = classes.select("doc", F.col("cluster").alias("b1"), F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("b2"), F.lit(0).cast("long").alias("b3"), F.col("doc").alias("label"))
     links = cut(_search(_with_text(alone, texts), t, width))
     wide = classes.where("blocks > 1")
     if not wide.isEmpty():
         links = links.unionByName(_search(_with_text(_across(wide, components(links)), texts), t, width))
-    found = components(links).withColumnsRenamed({"node": "lead", "component": "found"})
+    # ids of several sets tie their classes
+    again = led.where("doc is not null").groupBy("doc").agg(F.min("lead").alias("low"), F.max("lead").alias("high")).where("low <> high").select("doc")
+    ties = led.join(again, "doc").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
+    found = components(links.unionByName(ties)).withColumnsRenamed({"node": "lead", "component": "found"})
     return led.join(found, "lead", "left").select(F.col("doc").alias(doc), "n_shingles", F.coalesce("found", "lead").alias("component_id"))
 
 
@@ -372,17 +377,17 @@ def _with_text(blocks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(wide: DataFrame, found: DataFrame) -> DataFrame:
-    """Round 2: pairs of blocks that may hold links between components. A component of BLOCK or more has blocks of its own, the others
+    """Round 2: pairs of blocks that may hold links between components. A component of a block or more has blocks of its own, the others
     of a cluster share mixed ones; only blocks of one and the same component are not set against each other."""
-    own = wide.join(found.withColumnsRenamed({"node": "doc", "component": "c"}), "doc", "left").select("doc", "cluster", F.coalesce("c", "doc").alias("label"))
-    own = own.join(own.groupBy("cluster", "label").agg(F.count("*").alias("k")), ["cluster", "label"])
-    mixed = own.where(F.col("k") < BLOCK).groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("m"))
+    own = wide.join(found.withColumnsRenamed({"node": "doc", "component": "c"}), "doc", "left").select("doc", "cluster", "w", F.coalesce("c", "doc").alias("label"))
+    own = own.join(own.groupBy("cluster", "label").agg(F.sum("w").alias("k")), ["cluster", "label"])
+    mixed = own.where("k < 1").groupBy("cluster").agg(F.ceil(F.sum("w")).cast("long").alias("m"))
     own = own.join(mixed, "cluster", "left").select(
         "doc",
         "cluster",
         "label",
-        F.when(F.col("k") >= BLOCK, F.col("label")).alias("pure"),
-        F.when(F.col("k") >= BLOCK, F.xxhash64("label", F.pmod(F.xxhash64("doc"), F.ceil(F.col("k") / BLOCK).cast("long")))).otherwise(F.pmod(F.xxhash64("label"), F.col("m"))).alias("block"),
+        F.when(F.col("k") >= 1, F.col("label")).alias("pure"),
+        F.when(F.col("k") >= 1, F.xxhash64("label", F.pmod(F.xxhash64("doc"), F.ceil("k").cast("long")))).otherwise(F.pmod(F.xxhash64("label"), F.col("m"))).alias("block"),
     )
     own = cut(own)
     blocks = own.select("cluster", "pure", "block").distinct()
