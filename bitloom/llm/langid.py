@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams.
 
 The pieces of a fixed public vocabulary have a probability per language. A word's probability is the sum over all its
-segmentations into pieces, by a forward pass over its bytes; a text's is the product over its words, and the
+segmentations into pieces, by a forward pass over its bytes, however long it is; a text's is the product over its words, and the
 languages' shares of that are their scores. Piece probabilities come from expectation maximisation over the same
 segmentations on a bounded sample of labelled texts.
 """
@@ -20,8 +20,10 @@ from bitloom.llm.sample import bounded, fit_in_task
 
 #: Labelled texts that the model is fitted on, at most twice as many.
 SAMPLE_ROWS = 3000
-#: Longest piece looked up, and longest stretch of letters taken as one word, in bytes; longer stretches are several words.
-PIECE_BYTES, WORD_BYTES = 12, 40
+#: Words of up to so many bytes go through the forward pass side by side, in plain numbers; longer ones one at a time, in logarithms.
+SHORT = 24
+#: Words whose log probabilities a task remembers.
+HELD_WORDS = 300_000
 ROUNDS = 5
 UNKNOWN = "und"
 #: Every so manyth sample text is held out for floors(); standard errors that a text's rate may be below its language's floor.
@@ -42,6 +44,7 @@ class Pieces:
     inside: tuple[np.ndarray, np.ndarray]
     mark: int
     size: int
+    longest: int
 
     @staticmethod
     def load(path: str) -> "Pieces":
@@ -61,12 +64,34 @@ class Pieces:
                 own = piece.removeprefix(MARK).encode()
                 (begin if piece[0] == MARK else inside)[own] = i
         table = lambda x: (lambda h, n: (h[o := np.argsort(h, kind="stable")], n[o]))(hash_bytes(list(x)), np.array(list(x.values())))
-        return Pieces(table(begin), table(inside), mark, model.get_piece_size())
+        return Pieces(table(begin), table(inside), mark, model.get_piece_size(), max(map(len, [*begin, *inside])))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, rows) of stretches of ASCII letters and non-ASCII bytes, cut at WORD_BYTES."""
+def letters(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is of a letter: ASCII letters, and what isn't ASCII but for the signs, spaces and pictures of the larger blocks of those."""
     inside = _LETTER[data]
+    if not (data >= 0xC2).any():
+        return inside
+    follow = lambda at, k: data[np.minimum(at + k, len(data) - 1)]
+    # lead byte, width, whether the character is none by its second and third bytes
+    for lead, width, other in (
+        (0xC2, 2, lambda b, c: ~np.isin(b, (0xAA, 0xB5, 0xBA))),
+        (0xC3, 2, lambda b, c: np.isin(b, (0x97, 0xB7))),
+        (0xE2, 3, lambda b, c: np.isin(b, (0x80, 0x81, 0x82)) | ((b >= 0x86) & (b <= 0xAF))),
+        (0xE3, 3, lambda b, c: (b == 0x80) & ~np.isin(c, (0x85, 0x86, 0x87))),
+        (0xEF, 3, lambda b, c: ((b == 0xBC) & (c < 0xA1)) | ((b == 0xBB) & (c == 0xBF))),
+        (0xF0, 4, lambda b, c: b == 0x9F),
+    ):
+        at = np.flatnonzero(data == lead)
+        at = at[other(follow(at, 1), follow(at, 2))]
+        for k in range(width):
+            inside[np.minimum(at + k, len(data) - 1)] = False
+    return inside
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, rows) of stretches of letters."""
+    inside = letters(data)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -74,11 +99,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if len(starts) and int((ends - starts).max()) > WORD_BYTES:
-        n = -(-(ends - starts) // WORD_BYTES)
-        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(starts, n) + k * WORD_BYTES
-        ends = np.minimum(starts + WORD_BYTES, np.repeat(ends, n))
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
@@ -86,7 +106,7 @@ def arcs(pieces: Pieces, sums: np.ndarray, inverse: np.ndarray, starts: np.ndarr
     """(from, to, words, pieces, begins) for every piece found in the words, which must be in descending order of length."""
     found = []
     for i in range(int(lengths[0]) if len(lengths) else 0):
-        for n in range(1, PIECE_BYTES + 1):
+        for n in range(1, pieces.longest + 1):
             m = int(np.searchsorted(-lengths, -(i + n), "right"))
             if not m:
                 break
@@ -108,12 +128,63 @@ def forward(found, p: np.ndarray, mark: int, n: int, longest: int) -> np.ndarray
     return a
 
 
+class LongWord:
+    """The pieces found in one word of any length, and sums over its segmentations in logarithms."""
+
+    def __init__(self, pieces: Pieces, sums: np.ndarray, inverse: np.ndarray, start: int, length: int):
+        found = []
+        for n in range(1, min(pieces.longest, length) + 1):
+            a = start + np.arange(length - n + 1)
+            h = mix((sums[a + n] - sums[a]) * inverse[a])
+            for begins, (keys, numbers), tried in ((True, pieces.begin, h[:1]), (False, pieces.inside, h)):
+                at = np.minimum(np.searchsorted(keys, tried), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == tried)
+                found.append((hit, hit + n, numbers[at[hit]], np.full(len(hit), begins)))
+        self.first, self.last, self.numbers, begins = (np.concatenate(x) for x in zip(*found))
+        self.length, self.marked = length, (self.first == 0) & ~begins
+        self.mark = pieces.mark
+
+    def _sums(self, logs: np.ndarray, source: np.ndarray, target: np.ndarray, places: range) -> np.ndarray:
+        """Log sums over ways through the pieces, place by place."""
+        out = np.full((self.length + 1, logs.shape[1]), -np.inf)
+        out[places.start] = 0.0
+        order = np.argsort(target, kind="stable")
+        source, logs = source[order], logs[order]
+        cuts = np.searchsorted(target[order], np.arange(self.length + 2))
+        for j in places[1:]:
+            own = slice(cuts[j], cuts[j + 1])
+            v = logs[own] + out[source[own]]
+            top = v.max(0)
+            out[j] = top + np.log(np.exp(v - top).sum(0))
+        return out
+
+    def piece_logs(self, log_p: np.ndarray) -> np.ndarray:
+        return log_p[self.numbers] + np.where(self.marked[:, None], log_p[self.mark], 0.0)
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        return self._sums(logs, self.first, self.last, range(0, self.length + 1))
+
+    def expect(self, log_p: np.ndarray, weight: np.ndarray, expected: np.ndarray) -> None:
+        """Adds the expected numbers of the word's pieces, times weight by language."""
+        logs = self.piece_logs(log_p)
+        a, b = self.forward(logs), self._sums(logs, self.last, self.first, range(self.length, -1, -1))
+        share = np.exp(a[self.first] + logs + b[self.last] - a[self.length]) * weight
+        np.add.at(expected, self.numbers, share)
+        expected[self.mark] += share[self.marked].sum(0)
+
+
 def word_log_probs(pieces: Pieces, p: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 16_384) -> np.ndarray:
     """Natural log probabilities of words, words x languages."""
     sums, inverse = prefix_hash(data)
     order = np.argsort(starts - ends, kind="stable")
     out = np.empty((len(starts), p.shape[1]))
-    for lo in range(0, len(order), step):
+    long = int(np.searchsorted((starts - ends)[order], -SHORT))
+    if long:
+        log_p = np.log(p)
+        for k in order[:long].tolist():
+            word = LongWord(pieces, sums, inverse, int(starts[k]), int(ends[k] - starts[k]))
+            out[k] = word.forward(word.piece_logs(log_p))[-1]
+    for lo in range(long, len(order), step):
         own = order[lo : lo + step]
         lengths = ends[own] - starts[own]
         a = forward(arcs(pieces, sums, inverse, starts[own], lengths), p, pieces.mark, len(own), int(lengths[0]))
@@ -139,12 +210,17 @@ def fit(pieces: Pieces, texts: list[str], labels: list[str]) -> tuple[list[str],
     starts, lengths = starts[first], (ends - starts)[first]
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, counts = starts[order], lengths[order], counts[order]
+    long = int(np.searchsorted(-lengths, -SHORT))
+    apart = [(LongWord(pieces, sums, inverse, int(a), int(n)), c) for a, n, c in zip(starts[:long], lengths[:long], counts[:long])]
     parts = []
-    for lo in range(0, len(starts), 16_384):
+    for lo in range(long, len(starts), 16_384):
         own = slice(lo, lo + 16_384)
         parts.append((arcs(pieces, sums, inverse, starts[own], lengths[own]), lengths[own], counts[own]))
     for _ in range(ROUNDS):
         expected = np.zeros_like(p)
+        log_p = np.log(p)
+        for word, weight in apart:
+            word.expect(log_p, weight, expected)
         for found, size, weight in parts:
             n, longest = len(size), int(size[0])
             a = forward(found, p, pieces.mark, n, longest)
@@ -171,15 +247,45 @@ def train(df: DataFrame, vocabulary_path: str, text: str = "text", label: str =
     own = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, text, label)
     rows = bounded(own, F.col(key), sample_rows).select(text, label)
     pieces = Pieces.load(vocabulary_path)
-    return pieces, *fit_in_task(rows, lambda t: fit(pieces, t.column(0).to_pylist(), t.column(1).to_pylist()))
+    return pieces, *fit_in_task(rows, lambda t: fit(pieces, *_in_order(t)))
 
 
-def rates(pieces: Pieces, p: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _in_order(table: pa.Table) -> tuple[list[str], list[str]]:
+    """(texts, labels) of a sample, in an order that doesn't hang on that of its rows."""
+    rows = sorted(zip(table.column(1).to_pylist(), table.column(0).to_pylist()))
+    return [t for _, t in rows], [x for x, _ in rows]
+
+
+class Memory:
+    """Log probabilities of the words that were met last, by hash; results don't depend on it."""
+
+    def __init__(self, languages: int):
+        self.keys, self.values = np.empty(0, np.uint64), np.empty((0, languages))
+
+    def look_up(self, keys: np.ndarray, work_out) -> np.ndarray:
+        """Values of ascending keys; work_out(numbers of keys) gives those of new ones."""
+        if len(self.keys) > HELD_WORDS:
+            self.keys, self.values = self.keys[:0], self.values[:0]
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        out = np.empty((len(keys), self.values.shape[1]))
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = work_out(new)
+            self.keys, self.values = np.insert(self.keys, at[new], keys[new]), np.insert(self.values, at[new], out[new], axis=0)
+        return out
+
+
+def rates(pieces: Pieces, p: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(log probabilities, characters) of words, the former by language."""
     sums, inverse = prefix_hash(data)
-    _, first, same = np.unique(mix((sums[ends] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
+    keys, first, same = np.unique(mix((sums[ends] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
     heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    return word_log_probs(pieces, p, data, starts[first], ends[first])[same], np.maximum(heads[ends] - heads[starts], 1)
+    logs = (memory or Memory(p.shape[1])).look_up(keys, lambda new: word_log_probs(pieces, p, data, starts[first[new]], ends[first[new]]))
+    return logs[same], np.maximum(heads[ends] - heads[starts], 1)
 
 
 def learn_floors(pieces: Pieces, texts: list[str], labels: list[str]) -> np.ndarray:
@@ -227,11 +333,11 @@ def floors(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str
     own = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, text, label)
     rows = bounded(own, F.col(key), sample_rows).select(text, label)
     pieces = model[0]
-    return fit_in_task(rows, lambda t: learn_floors(pieces, t.column(0).to_pylist(), t.column(1).to_pylist()))
+    return fit_in_task(rows, lambda t: learn_floors(pieces, *_in_order(t)))
 
 
 def identify(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str = "text", keep_text: bool = True, least: np.ndarray | None = None) -> DataFrame:
-    """Adds lang_pred and score (the language's share of the text's probability, 0 to 1).
+    """Adds lang_pred and score (the language's share of the text's probability, 0 to 1). Of languages of equal share, the first in the alphabet is taken.
 
     A null text, or one without a letter, is `und` with score 0, and so is, if `least` (of floors()) is given, one whose log probability per
     character is more than FLOOR_ERRORS standard errors of its words' mean below the language's floor. Other columns pass through; lang_pred and score are replaced. No row moves.
@@ -243,13 +349,14 @@ def identify(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: s
 
     def run(batches):
         own, prob, floor = shared.value
+        memory = Memory(prob.shape[1])
         for batch in batches:
             for lo, hi, raw, offsets in text_slices(batch.column(text)):
                 data = _LOWER[raw]
                 starts, ends, rows = words_of(data, offsets)
                 total, size = np.zeros((hi - lo, max(len(languages), 1))), np.ones(hi - lo)
                 if len(starts):
-                    logs, n = rates(own, prob, data, starts, ends)
+                    logs, n = rates(own, prob, data, starts, ends, memory)
                     size = np.maximum(np.bincount(rows, n, minlength=hi - lo), 1)
                     for g in range(logs.shape[1]):
                         total[:, g] = np.bincount(rows, logs[:, g], minlength=hi - lo)
