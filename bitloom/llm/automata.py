@@ -11,6 +11,8 @@ import math
 import random
 from dataclasses import dataclass, field
 
+import numpy as np
+
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Characters from this place on are read as classes; before it a format's literal head counts.
 HEAD = 4
@@ -117,6 +119,48 @@ class Automaton:
         return total + self.table[at][1]
 
 
+class Scorer:
+    """Several automata side by side over many strings of bytes: log probabilities as Automaton.log_prob gives them."""
+
+    def __init__(self, models: dict[str, Automaton]):
+        self.kinds = list(models)
+        size = max(len(m.table) for m in models.values())
+        lost = -math.log(10_000)
+        #: Next state and cost by automaton, state and byte (literal ones for the head, then classes).
+        self.next = np.tile(np.arange(size, dtype=np.int32)[None, :, None], (len(models), 1, 512))
+        self.cost = np.full((len(models), size, 512), lost)
+        self.end = np.zeros((len(models), size))
+        for g, m in enumerate(models.values()):
+            for s, (steps, end) in enumerate(m.table):
+                self.end[g, s] = end
+                for x, (k, cost) in steps.items():
+                    if x[0] == "=" and len(x) == 2:
+                        places = [ord(x[1])] if ord(x[1]) < 256 else []
+                        size_of = 1
+                    else:
+                        places = [256 + c for c in range(256) if _CLASS.get(chr(c), chr(c)) == x]
+                        size_of = _SIZE.get(x, 1)
+                    self.next[g, s, places] = k
+                    self.cost[g, s, places] = cost - math.log(size_of)
+
+    def log_probs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Strings x automata."""
+        order = np.argsort(starts - ends, kind="stable")  # the longest first, so that those still running stand in front
+        at, lengths = starts[order], (ends - starts)[order]
+        kinds = np.arange(len(self.kinds))[None, :]
+        state = np.zeros((len(at), len(self.kinds)), np.int32)
+        total = np.zeros((len(at), len(self.kinds)))
+        left = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1 if len(lengths) else 1), "right")
+        for i, n in enumerate(left.tolist()):
+            x = data[at[:n] + i].astype(np.int64)[:, None] + (256 if i >= HEAD else 0)
+            own = state[:n]
+            total[:n] += self.cost[kinds, own, x]
+            state[:n] = self.next[kinds, own, x]
+        out = np.empty_like(total)
+        out[order] = total + self.end[kinds, state]
+        return out
+
+
 def _draw(rng: random.Random, alphabet: str, lo: int, hi: int | None = None) -> str:
     return "".join(rng.choices(alphabet, k=rng.randint(lo, hi or lo)))
 
@@ -137,6 +181,10 @@ def labelled_samples(n: int = 120, seed: int = 7) -> dict[str, list[str]]:
         lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12)}-{rng.randint(1, 28)}T{rng.randint(10, 23)}.{rng.randint(10, 59)}",
         lambda: f"{word()}={rng.randint(1, 999)}={word()}={word()}",
         lambda: f"{word()}{word()}{word()}{word()}{word()}".upper() + str(rng.randint(0, 9)),
+        lambda: _draw(rng, DIGITS, 4, 24),
+        lambda: rng.choice(["-", "_", "=", ".", "/"]) * rng.randint(3, 40),
+        lambda: f"{word().capitalize()}{word().capitalize()}{word()}",
+        lambda: "".join(word() for _ in range(rng.randint(3, 9))),
     ]
     return {
         "access_key": ["AKIA" + _draw(rng, UPPER + DIGITS, 16) for _ in range(n)],
@@ -151,6 +199,11 @@ def labelled_samples(n: int = 120, seed: int = 7) -> dict[str, list[str]]:
     }
 
 
+def with_labelled(samples: dict[str, list[str]], labelled: dict[str, list[str]], least: int = 20) -> dict[str, list[str]]:
+    """samples with a format more for each label that has `least` or more different strings; sorted, as the order of samples breaks ties of merging."""
+    return samples | {f"labelled_{k}": sorted(set(own)) for k, own in sorted(labelled.items()) if len(set(own)) >= least}
+
+
 def train(samples: dict[str, list[str]]) -> dict[str, Automaton]:
     return {kind: Automaton(own) for kind, own in samples.items()}
 
