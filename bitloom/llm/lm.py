@@ -1,11 +1,14 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are lower-cased words and one end per text. The most frequent VOCABULARY words have vectors; the score of a word
-after two others is (r1[w1] + r2[w2]) . q[w] + b[w], normalised over the vocabulary. All other words share one entry of it, times
-their own share of what is left, by add-one counts. Counts are exact and cover all training texts. The model is trained on
-the word triples of all training texts: each task takes its own triples, with their counts, through one pass from common starting
-values, and the results are averaged by weight. As the normaliser depends on (w1, w2) alone, it is worked out once for all pairs by
-batched matrix products.
+Tokens are lower-cased words and one end per text. The FREQUENT most frequent words have an entry each in the vocabulary; the others share
+one by the hash of their last letters, times their own share of it by add-one counts, so every token goes through the model. Entries belong to
+classes: those of the TOP most frequent words by rank, the others by last letters. A word's probability after two others is that of
+its class, (r1[k1] + r2[k2]) . qc[c] + bc[c] normalised over the classes, times that of its entry in the class, u[k2] . q[w] + b[w] normalised
+over the entries of the class; k is the word itself for the TOP ones, else its last letters. Counts are exact and cover all training texts.
+
+The model is trained on the word triples of all training texts: each task takes its own triples, with their counts, through one pass of
+STEPS batches from common starting values, and every row of the model is averaged over the tasks by the tokens that it had there. As normalisers
+depend on (k1, k2) or (k2, c) alone, they are worked out once for all pairs by batched matrix products.
 
 Rare words are too many to broadcast: only their (text, count) entries are shuffled, by word, and what comes back is a sum per text.
 The FREQUENT most frequent words are broadcast, so no word that is shuffled makes up more than 1 / FREQUENT of the tokens.
@@ -23,25 +26,30 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import Words, crc_mod, cut, documents, hash_bytes, map_texts, mix, text_slices
 
-VOCABULARY, WIDTH = 1024, 16
-FREQUENT = 65_536
+#: Words with an entry each; words that are contexts of their own, in classes of TOP // TOP_CLASSES; hashes of last letters; numbers in a vector.
+FREQUENT, TOP, TOP_CLASSES, SUFFIXES, WIDTH = 65_536, 768, 64, 192, 16
+CONTEXTS, CLASSES = TOP + SUFFIXES, TOP_CLASSES + SUFFIXES
 #: Distinct words or triples that a task holds before it sends what it has.
 HELD = 1_500_000
-NOISE, BATCH, RATE, LEAST_STEPS = 64, 4096, 0.05, 300
+#: Noise classes of a batch, noise words of a triple, batches of a pass.
+NOISE, NOISE_WORDS, STEPS, RATE = 64, 8, 300, 0.1
 #: The end of a text, as a word that no text can hold.
-END = int(hash_bytes([b"\n"])[0])
+END = int(hash_bytes([b"\n"])[0]) >> 8
 
 _TEN = np.log(10.0)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash per token, row per token, tokens per row); every row closes with END."""
+    """(key per token, row per token, tokens per row); every row closes with END. A key holds the hash of the word's last two bytes in its first 8 bits."""
     w = Words(data, offsets)
     ends = np.cumsum(w.counts + 1) - 1
     h = np.full(int(ends[-1]) + 1, np.uint64(END))
     inside = np.ones(len(h), bool)
     inside[ends] = False
-    h[inside] = w.hashes()
+    last = w.data[w.end - 1].astype(np.uint64)
+    before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
+    suffix = mix(last << np.uint64(8) | before) % np.uint64(SUFFIXES)
+    h[inside] = suffix << np.uint64(56) | w.hashes() >> np.uint64(8)
     return h, np.repeat(np.arange(len(w.counts)), w.counts + 1), w.counts + 1
 
 
@@ -82,38 +90,69 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Counts:
-    """Totals, and the most frequent words in ascending order of hash with counts and vocabulary numbers (0: not in it)."""
+    """Totals; the most frequent words in ascending order of key, with counts and entries; and the vocabulary's entries in order of class.
+
+    Entries below TOP are the most frequent words by rank, END being the first. `rest` has the entry that the words without one of their own share, by last
+    letters, and rest_tokens and rest_distinct count those.
+    """
 
     tokens: int
     distinct: int
     words: np.ndarray
     counts: np.ndarray
     numbers: np.ndarray
-    rest_tokens: int
-    rest_distinct: int
+    rest: np.ndarray
+    rest_tokens: np.ndarray
+    rest_distinct: np.ndarray
+    classes: np.ndarray
+    contexts: np.ndarray
+    bounds: np.ndarray
+    unigram: np.ndarray
+
+    @staticmethod
+    def of(n: int, v: int, words: np.ndarray, c: np.ndarray, rest_tokens: np.ndarray, rest_distinct: np.ndarray) -> "Counts":
+        """words and c: the frequent words, END first, then from the most frequent on."""
+        own = np.where(np.arange(len(words)) < TOP, np.arange(len(words)) // (TOP // TOP_CLASSES), TOP_CLASSES + (words >> np.uint64(56)).astype(np.int64))
+        classes = np.concatenate([own, TOP_CLASSES + np.arange(SUFFIXES)])
+        weight = np.concatenate([c + 1.0, rest_tokens + rest_distinct + 1.0])
+        order = np.argsort(classes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        top = min(len(words), TOP)  # these are their own places
+        by_key = np.argsort(words, kind="stable")
+        classes = classes[order]
+        contexts = np.where(np.arange(len(order)) < top, np.arange(len(order)), TOP - TOP_CLASSES + classes)
+        bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
+        return Counts(n, v, words[by_key], c[by_key], place[: len(words)][by_key], place[len(words) :], rest_tokens, rest_distinct, classes, contexts, bounds, weight[order] / weight.sum())
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether frequent, count, vocabulary number) per hash."""
+        """(whether frequent, count, entry) per key."""
+        rest = self.rest[np.minimum(h >> np.uint64(56), np.uint64(SUFFIXES - 1)).astype(np.int64)]
         if not len(self.words):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), rest
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         hit = self.words[at] == h
-        return hit, np.where(hit, self.counts[at], 0), np.where(hit, self.numbers[at], 0)
+        return hit, np.where(hit, self.counts[at], 0), np.where(hit, self.numbers[at], rest)
+
+    def rest_floor(self) -> np.ndarray:
+        """log10 of the add-one total of the words that share an entry, by entry (0 for others)."""
+        out = np.zeros(len(self.classes))
+        out[self.rest] = np.log10(self.rest_tokens + self.rest_distinct + 1)
+        return out
 
 
 def gather_counts(training: DataFrame) -> Counts:
-    """Totals and frequent words; no more than FREQUENT rows reach the driver."""
+    """Totals and frequent words; no more than FREQUENT rows, and SUFFIXES sums, reach the driver."""
     counts = cut(word_counts(training))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    suffix = F.shiftrightunsigned("word", 56)
+    sums = {int(r["s"]): (int(r["n"]), int(r["v"])) for r in counts.groupBy(suffix.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    top = counts.orderBy(F.when(F.col("word") == END, 0).otherwise(1), F.desc("c"), "word").limit(FREQUENT).toArrow()
     words, c = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    numbers = np.where(np.arange(len(words)) < VOCABULARY - 1, np.arange(1, len(words) + 1), 0)
-    if END not in words[: VOCABULARY - 1].tolist() and len(words):  # more words than texts' ends: the end has a number anyway
-        numbers[np.flatnonzero(words == np.uint64(END))] = VOCABULARY - 1
-        numbers[min(VOCABULARY - 2, len(words) - 1)] = VOCABULARY - 1 if words[min(VOCABULARY - 2, len(words) - 1)] == np.uint64(END) else 0
-    order = np.argsort(words, kind="stable")
-    known = numbers > 0
-    return Counts(int(n), int(v), words[order], c[order], numbers[order], int(n - c[known].sum()), int(v - known.sum()))
+    own = (words >> np.uint64(56)).astype(np.int64)
+    tokens_, distinct = (np.array([sums.get(k, (0, 0))[i] for k in range(SUFFIXES)], np.int64) for i in (0, 1))
+    rest_tokens = tokens_ - np.bincount(own, c, minlength=SUFFIXES).astype(np.int64)[:SUFFIXES]
+    rest_distinct = distinct - np.bincount(own, minlength=SUFFIXES)[:SUFFIXES]
+    return Counts.of(sum(n for n, _ in sums.values()), sum(v for _, v in sums.values()), words, c, rest_tokens, rest_distinct)
 
 
 # -- model ------------------------------------------------------------------------------------------------
@@ -121,72 +160,115 @@ def gather_counts(training: DataFrame) -> Counts:
 
 @dataclass
 class Model:
-    """Context vectors by place, target vectors and biases."""
+    """Context vectors for classes by place, class vectors and biases; context vectors for entries, entry vectors and biases."""
 
     r1: np.ndarray
     r2: np.ndarray
+    qc: np.ndarray
+    bc: np.ndarray
+    u: np.ndarray
     q: np.ndarray
     b: np.ndarray
 
+    #: Tables of the model and the biases beside them, as (vectors, biases).
+    TABLES = (("r1", None), ("r2", None), ("qc", "bc"), ("u", None), ("q", "b"))
+
     @staticmethod
-    def start(unigram: np.ndarray, seed: int = 5) -> "Model":
+    def start(counts: Counts, seed: int = 5) -> "Model":
+        """Common starting values: small vectors, biases of the unigram."""
         rng = np.random.default_rng(seed)
-        small = lambda: rng.normal(0, 0.1, (VOCABULARY, WIDTH))
-        return Model(small(), small(), small(), np.log(unigram))
+        small = lambda n: rng.normal(0, 0.1, (n, WIDTH))
+        by_class = np.bincount(counts.classes, counts.unigram, minlength=CLASSES)
+        with np.errstate(divide="ignore"):
+            return Model(small(CONTEXTS), small(CONTEXTS), small(CLASSES), np.maximum(np.log(by_class), -50.0), small(CONTEXTS), small(len(counts.unigram)), np.log(counts.unigram / by_class[counts.classes]))
 
-    def normalisers(self, w1: int) -> np.ndarray:
-        """Log of the sum of exp(score) over the vocabulary after (w1, each word)."""
-        z = ((self.r1[w1] + self.r2) @ self.q.T + self.b).astype(np.float32)
-        top = z.max(1, keepdims=True)
-        return (top[:, 0] + np.log(np.exp(z - top).sum(1))).astype(np.float32)
+    def class_normalisers(self, k1: int) -> np.ndarray:
+        """Log of the sum of exp(score) over the classes after (k1, each context)."""
+        return _log_sums((self.r1[k1] + self.r2) @ self.qc.T + self.bc)
 
+    def entry_normalisers(self, lo: int, hi: int) -> np.ndarray:
+        """The same over the entries lo .. hi-1 of a class, after each context."""
+        return _log_sums(self.u @ self.q[lo:hi].T + self.b[lo:hi]) if hi > lo else np.zeros(CONTEXTS, np.float32)
 
-def _add_rows(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of rows of values by number."""
-    out = np.zeros((n, values.shape[1]))
-    np.add.at(out, at, values)
-    return out
+    def log_probs(self, k1: np.ndarray, k2: np.ndarray, w: np.ndarray, counts: Counts, z: np.ndarray, zw: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of entries after contexts; z (context x context) and zw (class x context) are the normalisers."""
+        c = counts.classes[w]
+        of_class = ((self.r1[k1] + self.r2[k2]) * self.qc[c]).sum(1) + self.bc[c] - z[k1, k2]
+        return of_class + (self.u[k2] * self.q[w]).sum(1) + self.b[w] - zw[c, k2]
 
 
-def nce(model: Model, triples: np.ndarray, counts: np.ndarray, unigram: np.ndarray, seed: int) -> None:
-    """Weighted noise-contrastive estimation with adaptive steps; noise words are drawn per batch from the unigram.
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    z = scores.astype(np.float32)
+    top = z.max(1, keepdims=True)
+    return (top[:, 0] + np.log(np.exp(z - top).sum(1))).astype(np.float32)
 
-    One pass over the triples, or as many as make LEAST_STEPS batches.
-    """
+
+class _Steps:
+    """Adaptive steps of a table's rows."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.squares = table, np.full(table.shape, 1e-8)
+
+    def __call__(self, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        """Sums the gradients of equal rows and moves those."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        d, rows = np.add.reduceat(gradient[order], first, axis=0), rows[first]
+        s = self.squares[rows] + d * d
+        self.squares[rows] = s
+        self.table[rows] += rate * d / np.sqrt(s)
+
+
+def nce(model: Model, steps: dict[str, _Steps], triples: np.ndarray, weights: np.ndarray, counts: Counts, seed: int) -> None:
+    """Weighted noise-contrastive estimation, one pass in STEPS batches: of classes against noise classes of the unigram, drawn per batch, and of entries
+    against noise entries of their own class."""
     rng = np.random.default_rng(seed)
-    params = (model.r1, model.r2, model.q, model.b)
-    squares = [np.full(p.shape, 1e-8) for p in params]
-    log_noise = np.log(unigram) + np.log(NOISE)
-    batches = -(-len(triples) // BATCH)
-    passes = max(1, -(-LEAST_STEPS // batches))
-    scale = batches / counts.sum()
-    step = 0
-    for _ in range(passes):
-        order = rng.permutation(len(triples))
-        for lo in range(0, len(order), BATCH):
-            own = order[lo : lo + BATCH]
-            w1, rest = np.divmod(triples[own], VOCABULARY * VOCABULARY)
-            w2, w = np.divmod(rest, VOCABULARY)
-            weight = counts[own] * scale
-            h = model.r1[w1] + model.r2[w2]
-            noise = rng.choice(VOCABULARY, NOISE, p=unigram)
-            real = ((h * model.q[w]).sum(1) + model.b[w]) - log_noise[w]
-            fake = h @ model.q[noise].T + model.b[noise] - log_noise[noise]
-            g = weight / (1 + np.exp(np.clip(real, -30, 30)))
-            f = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
-            dh = g[:, None] * model.q[w] + f @ model.q[noise]
-            dq = _add_rows(VOCABULARY, w, g[:, None] * h)
-            np.add.at(dq, noise, f.T @ h)
-            db = np.bincount(w, g, minlength=VOCABULARY) + np.bincount(noise, f.sum(0), minlength=VOCABULARY)
-            rate = RATE * (1 - step / (passes * batches))
-            step += 1
-            for p, s, d in zip(params, squares, (_add_rows(VOCABULARY, w1, dh), _add_rows(VOCABULARY, w2, dh), dq, db)):
-                s += d * d
-                p += rate * d / np.sqrt(s)
+    n_entries = len(counts.classes)
+    by_class = np.bincount(counts.classes, counts.unigram, minlength=CLASSES)
+    with np.errstate(divide="ignore"):
+        log_class, log_entry = np.log(by_class) + np.log(NOISE), np.log(counts.unigram / by_class[counts.classes]) + np.log(NOISE_WORDS)
+    up_to = np.append(0, np.cumsum(counts.unigram))
+    size = -(-len(triples) // STEPS)
+    scale = len(triples) / size / weights.sum()
+    order = rng.permutation(len(triples))
+    for lo in range(0, len(order), size):
+        own = order[lo : lo + size]
+        rate = RATE * (1 - lo / len(order))
+        pair, w = np.divmod(triples[own], n_entries)
+        k1, k2 = np.divmod(pair, CONTEXTS)
+        weight, c = weights[own] * scale, counts.classes[w]
+        h = model.r1[k1] + model.r2[k2]
+        noise = rng.choice(CLASSES, NOISE, p=by_class)
+        real = (h * model.qc[c]).sum(1) + model.bc[c] - log_class[c]
+        fake = h @ model.qc[noise].T + model.bc[noise] - log_class[noise]
+        g = weight / (1 + np.exp(np.clip(real, -30, 30)))
+        f = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
+        dh = g[:, None] * model.qc[c] + f @ model.qc[noise]
+        rows, dq, db = np.concatenate([c, noise]), np.concatenate([g[:, None] * h, f.T @ h]), np.concatenate([g, f.sum(0)])
+        # entries
+        lows, highs = up_to[counts.bounds[c]], up_to[counts.bounds[c + 1]]
+        other = np.searchsorted(up_to, lows[:, None] + rng.random((len(own), NOISE_WORDS)) * (highs - lows)[:, None], "right") - 1
+        other = np.clip(other, counts.bounds[c][:, None], counts.bounds[c + 1][:, None] - 1)
+        t, qo = model.u[k2], model.q[other]
+        real = (t * model.q[w]).sum(1) + model.b[w] - log_entry[w]
+        fake = np.einsum("ij,ikj->ik", t, qo) + model.b[other] - log_entry[other]
+        gw = weight / (1 + np.exp(np.clip(real, -30, 30)))
+        fw = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
+        dt = gw[:, None] * model.q[w] + np.einsum("ik,ikj->ij", fw, qo)
+        entries = np.concatenate([w, other.ravel()])
+        dw, dbw = np.concatenate([gw[:, None] * t, (fw[:, :, None] * t[:, None, :]).reshape(-1, WIDTH)]), np.concatenate([gw, fw.ravel()])
+        steps["r1"](k1, dh, rate)
+        steps["r2"](k2, dh, rate)
+        steps["qc"](rows, dq, rate)
+        steps["bc"](rows, db, rate)
+        steps["u"](k2, dt, rate)
+        steps["q"](entries, dw, rate)
+        steps["b"](entries, dbw, rate)
 
 
 def _context(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the second last and last token before each; before a text there are ends."""
+    """Contexts of the second last and last token before each; before a text there are ends."""
     one, two = np.full(len(numbers), end), np.full(len(numbers), end)
     first = np.cumsum(sizes) - sizes
     one[1:] = numbers[:-1]
@@ -197,35 +279,42 @@ def _context(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarr
     return two, one
 
 
-def train(training: DataFrame, counts: Counts) -> tuple[Model, np.ndarray]:
-    """(model, its normalisers for all pairs). Each task returns VOCABULARY rows of sums, averaged by Spark."""
+def _triples(data: np.ndarray, offsets: np.ndarray, counts: Counts):
+    """(keys, whether frequent, counts, entries, contexts k1 and k2, rows, sizes) of the tokens of a run of texts."""
+    h, row, sizes = tokens(data, offsets)
+    hit, count, number = counts.look_up(h)
+    end = int(counts.contexts[counts.look_up(np.array([END], np.uint64))[2][0]])
+    two, one = _context(counts.contexts[number], sizes, end)
+    return h, hit, count, number, two, one, row, sizes
+
+
+def train(training: DataFrame, counts: Counts) -> tuple[Model, np.ndarray, np.ndarray]:
+    """(model, its normalisers of classes, and of entries). Each task returns the rows that it had tokens for, averaged by Spark."""
     spark = training.sparkSession
-    unigram = np.ones(VOCABULARY)
-    unigram[counts.numbers[counts.numbers > 0]] += counts.counts[counts.numbers > 0]
-    unigram[0] += counts.rest_tokens
-    unigram /= unigram.sum()
-    shared = spark.sparkContext.broadcast((counts, unigram))
-    columns = [f"{p}{k}" for p in ("r", "s", "q") for k in range(WIDTH)] + ["b"]
+    shared = spark.sparkContext.broadcast(counts)
+    columns = [f"v{k}" for k in range(WIDTH)] + ["bias"]
 
     def run(batches):
-        own, noise = shared.value
-        end = int(own.look_up(np.array([END], np.uint64))[2][0])
-        held, size, total, trained = [], 0, 0.0, None
+        own = shared.value
+        n_entries = len(own.classes)
+        held, size, trained, steps = [], 0, None, {}
+        had = {"r1": np.zeros(CONTEXTS), "r2": np.zeros(CONTEXTS), "qc": np.zeros(CLASSES), "q": np.zeros(n_entries)}
 
         def learn():
-            nonlocal total, trained
+            nonlocal trained
             keys, weights = _tally(held)
             if trained is None:
-                trained = Model.start(noise)
-            nce(trained, keys, weights, noise, len(keys))
-            total += float(weights.sum())
+                trained = Model.start(own)
+                steps.update({name: _Steps(getattr(trained, name)) for pair in Model.TABLES for name in pair if name})
+            nce(trained, steps, keys, weights.astype(np.float64), own, len(keys))
+            pair, w = np.divmod(keys, n_entries)
+            for name, at, n in (("r1", pair // CONTEXTS, CONTEXTS), ("r2", pair % CONTEXTS, CONTEXTS), ("qc", own.classes[w], CLASSES), ("q", w, n_entries)):
+                had[name] += np.bincount(at, weights, minlength=n)
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
-                h, _, sizes = tokens(data, offsets)
-                numbers = own.look_up(h)[2]
-                two, one = _context(numbers, sizes, end)
-                held.append(np.unique((two * VOCABULARY + one) * VOCABULARY + numbers, return_counts=True))
+                _, _, _, number, two, one, _, _ = _triples(data, offsets, own)
+                held.append(np.unique((two * CONTEXTS + one) * n_entries + number, return_counts=True))
                 size += len(held[-1][0])
                 if size > HELD:
                     held = [_tally(held)]
@@ -235,25 +324,35 @@ def train(training: DataFrame, counts: Counts) -> tuple[Model, np.ndarray]:
         if held:
             learn()
         if trained is not None:
-            values = np.concatenate([trained.r1, trained.r2, trained.q, trained.b[:, None]], 1) * total
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY)), pa.array(np.full(VOCABULARY, total)), *(pa.array(c) for c in np.ascontiguousarray(values.T))], names=["row", "weight", *columns])
-
-    sums = map_texts(training, run, ", ".join(["row bigint", "weight double", *(f"{c} double" for c in columns)]))
-    means = sums.groupBy("row").agg(*((F.sum(c) / F.sum("weight")).alias(c) for c in columns)).orderBy("row").toArrow()
-    if not len(means):
-        model = Model.start(unigram)
-    else:
-        v = np.stack([means.column(c).to_numpy() for c in columns], 1)
-        model = Model(v[:, :WIDTH], v[:, WIDTH : 2 * WIDTH], v[:, 2 * WIDTH : 3 * WIDTH], v[:, -1])
-    fixed = spark.sparkContext.broadcast(model)
+            for number, (name, bias) in enumerate(Model.TABLES):
+                weight = had["r2" if name == "u" else name]
+                rows = np.flatnonzero(weight)
+                values = getattr(trained, name)[rows]
+                values = np.concatenate([values, (getattr(trained, bias)[rows] if bias else np.zeros(len(rows)))[:, None]], 1) * weight[rows, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int32)), pa.array(rows), pa.array(weight[rows]), *(pa.array(x) for x in np.ascontiguousarray(values.T))], names=["part", "row", "weight", *columns])
+
+    sums = map_texts(training, run, ", ".join(["part int, row bigint, weight double", *(f"{c} double" for c in columns)]))
+    means = sums.groupBy("part", "row").agg(*((F.sum(c) / F.sum("weight")).alias(c) for c in columns)).toArrow()  # a row for each of the model's
+    model = Model.start(counts)
+    part, rows = means.column(0).to_numpy(), means.column(1).to_numpy()
+    values = np.stack([means.column(c).to_numpy() for c in columns], 1) if len(means) else np.zeros((0, len(columns)))
+    for number, (name, bias) in enumerate(Model.TABLES):
+        of = part == number
+        getattr(model, name)[rows[of]] = values[of, :WIDTH]
+        if bias:
+            getattr(model, bias)[rows[of]] = values[of, WIDTH]
+    fixed = spark.sparkContext.broadcast((model, counts.bounds))
 
     def normalise(batches):
+        m, bounds = fixed.value
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fixed.value.normalisers(k).tobytes() for k in rows], pa.binary())], names=["id", "z"])
+            for k in batch.column(0).to_pylist():
+                z = m.class_normalisers(k) if k < CONTEXTS else m.entry_normalisers(int(bounds[k - CONTEXTS]), int(bounds[k - CONTEXTS + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["id", "z"])
 
-    z = spark.range(0, VOCABULARY, 1, 12).mapInArrow(normalise, "id bigint, z binary").orderBy("id").toArrow()
-    return model, np.stack([np.frombuffer(x, np.float32) for x in z.column(1).to_pylist()])
+    z = spark.range(0, CONTEXTS + CLASSES, 1, 12).mapInArrow(normalise, "id bigint, z binary").orderBy("id").toArrow()
+    z = np.stack([np.frombuffer(x, np.float32) for x in z.column(1).to_pylist()])
+    return model, z[:CONTEXTS], z[CONTEXTS:]
 
 
 # -- scoring ------------------------------------------------------------------------------------------------
@@ -279,27 +378,27 @@ def lm_scores(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str
 
     Learns from rows whose held_out is false; rows where it is null are neither. base_score: add-one unigram; score: the model;
     both log10 of the whole text's probability with its end. A null or empty text is its end alone. With nothing to learn
-    from, scores are those of untrained values. Repeated rows are scored one by one.
+    from, scores are those of untrained values. Repeated rows are scored one by one, and a very long text like any other: its rare words are sent in parts.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held"))
     training = own.where("not held")
     counts = gather_counts(training)
-    model, z = train(training, counts)
-    shared = spark.sparkContext.broadcast((counts, model, z))
+    model, z, zw = train(training, counts)
+    shared = spark.sparkContext.broadcast((counts, model, z, zw))
     rare = counts.tokens - int(counts.counts.sum())
     buckets = max(int(rare * 1.3 / HELD) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    floor, rest_floor = np.log10(counts.tokens + counts.distinct + 1), np.log10(counts.rest_tokens + counts.rest_distinct + 1)
+    floor = np.log10(counts.tokens + counts.distinct + 1)
 
     def score(batches):
-        c, m, norms = shared.value
-        end = int(c.look_up(np.array([END], np.uint64))[2][0])
+        c, m, norms, entry_norms = shared.value
+        rest_floor = c.rest_floor()
         key = TaskContext.get().partitionId() << 34
         words, texts, times, first, size = [], [], [], key, 0
 
         def send():
             w, t, n = np.concatenate(words), np.concatenate(texts), np.concatenate(times)
-            bucket = ((w >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((mix(w) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             for k, at in _by_bucket(bucket, buckets):
                 at = at[np.argsort(w[at], kind="stable")]
                 distinct, entries = np.unique(w[at], return_counts=True)
@@ -309,10 +408,8 @@ def lm_scores(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str
         for batch in batches:
             ids, flags = batch.column(0), batch.column(2)
             for lo, hi, data, offsets in text_slices(batch.column(1)):
-                h, row, sizes = tokens(data, offsets)
-                hit, count, number = c.look_up(h)
-                two, one = _context(number, sizes, end)
-                s = ((m.r1[two] + m.r2[one]) * m.q[number]).sum(1) + m.b[number] - norms[two, one]
+                h, hit, count, number, two, one, row, sizes = _triples(data, offsets, c)
+                s = m.log_probs(two, one, number, c, norms, entry_norms)
                 logs = np.log10(count + 1.0)
                 own_ids = ids.slice(lo, hi - lo)
                 d = np.zeros(hi - lo, _DOC)
@@ -322,8 +419,7 @@ def lm_scores(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str
                 d["n"] = sizes
                 d["known"] = np.bincount(row, count > 0, minlength=hi - lo)
                 d["base"] = np.bincount(row, logs, minlength=hi - lo) - sizes * floor
-                other = number == 0
-                d["lm"] = np.bincount(row, s / _TEN + np.where(other, logs - rest_floor, 0.0), minlength=hi - lo)
+                d["lm"] = np.bincount(row, s / _TEN - np.where(hit, 0.0, rest_floor[number]), minlength=hi - lo)
                 for k, at in _by_bucket(_dealt(d["key"], buckets), buckets):
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0]), *(pa.array([None], pa.binary()) for _ in range(4)), pa.array([d[at].tobytes()], pa.binary())], names=_NAMES)
                 if not hit.all():
@@ -399,5 +495,5 @@ _ROWS = "bucket int, first bigint, words binary, entries binary, texts binary, t
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores all documents; learns from those whose crc32 modulo 7 is not 2."""
-    return lm_scores(documents(spark, sf_dir, "doc_id", "text"), crc_mod(F.col("doc_id"), 7) == 2)
+    """Scores all documents; learns from those whose crc32 modulo 7 is not 2, one without an id among them."""
+    return lm_scores(documents(spark, sf_dir, "doc_id", "text"), F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
