@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,18 @@ def test_contamination(spark):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_contamination_of_a_very_long_text_and_clashing_columns(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    text = "filler words go here. " * 50_000 + passage + " and more filler." * 50_000
+    docs = spark.createDataFrame([(1, text, 7, 8), (2, "clean text", 7, 8)], "doc_id long, text string, _hit_doc int, _pieces int")
+    bench = spark.createDataFrame([(4, passage), (5, "no"), (6, "filler words go")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench.where("item_id = 4")).collect()}
+    assert got == {1: (11, ["4"]), 2: (0, [])}
+    assert [r.asDict() for r in decontaminate.remove_documents(docs, bench).collect()] == [{"doc_id": 2, "text": "clean text", "_hit_doc": 7, "_pieces": 8}]
+    cleaned = {r.doc_id: (r.text, r["_hit_doc"], r["_pieces"]) for r in decontaminate.remove_spans(docs, bench.where("item_id = 4")).collect()}
+    assert cleaned == {1: (text.replace(". " + passage, ""), 7, 8), 2: ("clean text", 7, 8)}
+
+
 def test_contamination_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = decontaminate.contamination(df, df.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
@@ -132,6 +145,23 @@ def test_components_edges(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_of_repeated_ids(spark):
+    rows = [(3, "a b c d e"), (5, "a b c d e"), (5, "p q r s t u"), (9, "P q r s t u"), (10, "x y"), (10, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 2, 3), (5, 2, 3), (5, 3, 3), (9, 3, 3), (10, 0, 10), (10, 1, 10)]
+
+
+def test_components_of_very_long_texts(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    near = list(long)
+    for k in range(0, 30_000, 400):
+        near[k] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[::-1])), (4, "short text of six words here")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_t_occurrence():
     import numpy as np
 
@@ -189,6 +219,38 @@ def test_secrets_in_long_runs_and_beside_base_spans(spark):
     assert hidden[5] == "see [SECRET]/short1 here" and hidden[6] == texts[6]
 
 
+def test_every_candidate_is_scored(spark):
+    """Keys of letters alone, a very long run, runs beside repeated rows; a user's column keeps its values."""
+    rng = random.Random(3)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))
+    body = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=300_000))
+    texts = [f"key {letters} end", f"key {body} end", "plain words " * 100_000, f"key {letters} end", "x 4417744280351547 1234567890123456789012 -----------------------------------"]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id int, text string, _secrets string")
+    got = {r.doc_id: (r.text, r["_secrets"]) for r in secrets.redact(df).collect()}
+    assert got == {0: ("key [SECRET] end", "mine"), 1: ("key [SECRET] end", "mine"), 2: (texts[2], "mine"), 3: ("key [SECRET] end", "mine"), 4: (texts[4], "mine")}
+
+
+def test_formats_are_learned_from_labelled_credentials(spark):
+    """A format that no rule makes is found without its keyword once enough base spans have shown it."""
+    rng = random.Random(4)
+    draw = lambda: "#".join(["qz7"]) + "_" + "".join(rng.choices("0123456789", k=5)) + "=" + "".join(rng.choices("BDFHJ", k=20)) + "=" + "".join(rng.choices("0123456789", k=5))
+    shown = [(i, f"token: {draw()} here") for i in range(60)]
+    alone = draw()
+    df = spark.createDataFrame([*shown, (100, f"found {alone} alone")], "doc_id int, text string")
+    spans = {r.doc_id: r.secrets for r in secrets.find_secrets(df).collect()}
+    assert [(s.kind, s.format, s.start, s.end) for s in spans[100]] == [("grammar", "labelled_assign", 6, 6 + len(alone))]
+
+
+def test_scorer_equals_the_automata():
+    models = automata.train(automata.labelled_samples(40))
+    own = automata.Scorer(models)
+    texts = [x for v in automata.labelled_samples(10, seed=5).values() for x in v] + ["x", "--==--", "AKIA"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    got = own.log_probs(data, ends - [len(t) for t in texts], ends)
+    assert np.allclose(got, [[models[k].log_prob(t) for k in own.kinds] for t in texts])
+
+
 def test_automata_tell_formats_apart():
     models = automata.train(automata.labelled_samples())
     unseen = automata.labelled_samples(40, seed=99)

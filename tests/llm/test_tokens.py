@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from bitloom.llm import bpe, token_files
 
@@ -82,8 +83,7 @@ def test_files(spark, tmp_path, at_once):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    texts = ODD + [f"text number {i}, with words." for i in range(200)]
+    texts = ODD + ["a <|endoftext|> b", "x<|endoftext|>y<|endoftext|>", "a\n<|endoftext|>\nb"] + [f"text number {i}, with words." for i in range(200)]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, "no id"), (9, None), (9, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     path = str(tmp_path / "ids")
@@ -107,6 +107,61 @@ def test_files(spark, tmp_path, at_once):
     assert [f.token(i) for i in range(int(f.offsets[1]), int(f.offsets[3]))] == np.concatenate([f.document(1), f.document(2)]).tolist()
 
 
+def test_end_mark_in_a_text():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = token_files.LibraryEncoder(f.read())
+    assert own.memory.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+def test_places_hold_under_ties(spark, tmp_path):
+    rows = [(7, f"text {i % 40} of one id") for i in range(200)] + [(1, "first"), (None, "x"), (None, "y y")]
+    found = []
+    for k, parts in enumerate((2, 5)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).withColumn("start", F.lit("clash")).withColumn("ids_le", F.lit(1))
+        path = str(tmp_path / f"t{k}")
+        token_files.write_texts(token_files.ordered(df), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+        found.append(sorted((r.start, r.doc_id, bytes(r.ids_le)) for r in token_files.read(spark, path).collect()))
+    assert found[0] == found[1]
+
+
+def test_other_tokenizers_and_patterns():
+    from tokenizers import Tokenizer
+
+    texts = [t for t in ODD if len(t) < 3000]
+    at = public_tokenizers.path("word_bpe_49k.json")
+    with open(at, encoding="utf-8") as f:
+        own = token_files.LibraryEncoder(f.read())
+    ids, counts = own.memory.encode(texts)
+    library = Tokenizer.from_file(at)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for pattern in (r"\p{N}{1,3}|\p{L}+|[^\p{L}\p{N}]", r"(\w+|\s+)|[^\w\s]+", r"[^\r\n]+|\n"):
+        plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+        assert lists(bpe.Codec(RANKS, pattern), texts) == [plain.encode_ordinary(t) for t in texts]
+
+
+def test_a_token_is_read_without_its_file(tmp_path):
+    ids = np.random.default_rng(2).integers(0, 60_000, 200_000).astype(np.uint32)
+    path = str(tmp_path / "one.dac")
+    token_files.write_file(path, [1, None], np.array([150_000, 50_000]), ids, 8)
+    with token_files.TokenFile(path) as f:
+        taken, read_at = [], f.source.read_at
+
+        class Counting:
+            def read_at(self, n, at):
+                taken.append(n)
+                return read_at(n, at)
+
+            def close(self):
+                f_source.close()
+
+        f_source, f.source = f.source, Counting()
+        for level in f.levels:
+            for part in level:
+                part.source = f.source
+        assert [f.token(i) for i in (0, 99_999, 199_999)] == ids[[0, 99_999, 199_999]].tolist()
+        assert sum(taken) < 2000 and (f.document(1) == ids[150_000:]).all()
+
+
 def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     token_files.write(token_files.encode(df, public_tokenizers.path("byte_bpe_50k.json"), end_id=2), str(tmp_path / "none"))
