@@ -44,6 +44,13 @@ def read_manifest(folder: str) -> list[dict]:
         return json.loads(f.read())
 
 
+def delete_folder(path: str) -> None:
+    """Deletes a folder and what is in it, if it is there."""
+    system, at = resolve(path)
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        system.delete_dir(at)
+
+
 def delete(paths: list[str]) -> None:
     for p in paths:
         system, at = resolve(p)

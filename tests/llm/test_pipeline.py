@@ -45,6 +45,17 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
 
 
+def test_columns_of_a_user_keep_their_values(spark):
+    text = "the quick answer is that the people of the country have been here for many years"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text), "a", "b", "c", "d")], "doc_id long, text string, lang string, source string, n_chars long, _decoded string, _secrets string, _kept_score string, Score string")
+    model_docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    wide = model_docs.selectExpr("*", "'a' as _decoded", "'b' as _secrets", "'c' as _kept_score", "'d' as Score").unionByName(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        wide = stage(spark, wide, DATA)
+        assert {tuple(r) for r in wide.select("_decoded", "_secrets", "_kept_score", "Score").distinct().collect()} == {("a", "b", "c", "d")}, name
+    assert wide.where("doc_id = 1").count() >= 1
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
