@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import bpe, decontaminate, jaccard, langid, secrets
-from bitloom.llm.common import cut, shared_path
+from bitloom.llm.common import cut, free_name, shared_path
+from bitloom.llm.files import delete_folder
 
 #: A text is rejected by the first stage if it has no letter, is too unlikely a character in its likeliest language, or that language's share is below this.
 LANGUAGE_SHARE = 0.5
@@ -18,10 +19,11 @@ SHINGLE = {"width": 5, "num": 80, "den": 100}
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is in a known language."""
     model = langid.fitted(spark, docs)
-    own = docs.withColumnsRenamed({"lang_pred": "_kept_lang_pred", "score": "_kept_score"})
+    clash = {c: free_name(f"_kept_{c}", docs) for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    own = docs.withColumnsRenamed(clash)
     found = langid.identify(own, model, least=langid.fitted_floors(docs, model))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_kept_lang_pred": "lang_pred", "_kept_score": "score"}).select(docs.columns)
+    return kept.withColumnsRenamed({kept_as: c for c, kept_as in clash.items()}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the byte-level BPE ids of the texts; round_trip tells whether decoding them gives the text's bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.encode(docs, path, pattern, decoded="_decoded")
-    same = F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    decoded = free_name("_decoded", docs)
+    out = bpe.encode(docs, path, pattern, decoded=decoded)
+    same = F.col(decoded) == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     own = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]  # columns of these names are replaced
     return out.select(*own, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
@@ -69,10 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each result being written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents, each result being written to the shared folder and read again; what the stage before left is deleted then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_folder(before)
+        before = path
     return docs
