@@ -25,6 +25,8 @@ SHORT = 24
 #: Words whose log probabilities a task remembers.
 HELD_WORDS = 300_000
 ROUNDS = 5
+#: Count that a piece of one byte has before any text, and its share for every further byte: a long piece that no text has is as unlikely as its bytes.
+PRIOR, PRIOR_BYTE = 0.05, 1 / 16
 UNKNOWN = "und"
 #: Every so manyth sample text is held out for floors(); standard errors that a text's rate may be below its language's floor.
 FLOOR_SHARE, FLOOR_ERRORS = 5, 2.0
@@ -45,6 +47,7 @@ class Pieces:
     mark: int
     size: int
     longest: int
+    prior: np.ndarray
 
     @staticmethod
     def load(path: str) -> "Pieces":
@@ -63,8 +66,11 @@ class Pieces:
             elif MARK not in piece[1:]:
                 own = piece.removeprefix(MARK).encode()
                 (begin if piece[0] == MARK else inside)[own] = i
+        prior = np.full(model.get_piece_size(), PRIOR)
+        for own, i in (*begin.items(), *inside.items()):
+            prior[i] = PRIOR * PRIOR_BYTE ** (len(own) - 1)
         table = lambda x: (lambda h, n: (h[o := np.argsort(h, kind="stable")], n[o]))(hash_bytes(list(x)), np.array(list(x.values())))
-        return Pieces(table(begin), table(inside), mark, model.get_piece_size(), max(map(len, [*begin, *inside])))
+        return Pieces(table(begin), table(inside), mark, model.get_piece_size(), max(map(len, [*begin, *inside])), prior)
 
 
 def letters(data: np.ndarray) -> np.ndarray:
@@ -236,7 +242,7 @@ def fit(pieces: Pieces, texts: list[str], labels: list[str]) -> tuple[list[str],
                 else:
                     np.add.at(expected, numbers, share * a[rows, i])
                     b[rows, i] += share
-        p = expected + 0.05
+        p = expected + pieces.prior[:, None]
         p /= p.sum(0)
     return languages, p
 

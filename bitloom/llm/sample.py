@@ -23,7 +23,8 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        table = pa.Table.from_batches(list(batches), to_arrow_schema(schema))
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else to_arrow_schema(schema).empty_table()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").first()  # an exchange: the scan and joins before it keep their tasks
