@@ -32,7 +32,7 @@ CONTEXTS, CLASSES = TOP + SUFFIXES, TOP_CLASSES + SUFFIXES
 #: Distinct words or triples that a task holds before it sends what it has.
 HELD = 1_500_000
 #: Noise classes of a batch, noise words of a triple, batches of a pass.
-NOISE, NOISE_WORDS, STEPS, RATE = 64, 8, 300, 0.1
+NOISE, NOISE_WORDS, STEPS, RATE = 64, 2, 300, 0.1
 #: The end of a text, as a word that no text can hold.
 END = int(hash_bytes([b"\n"])[0]) >> 8
 
@@ -177,10 +177,11 @@ class Model:
     def start(counts: Counts, seed: int = 5) -> "Model":
         """Common starting values: small vectors, biases of the unigram."""
         rng = np.random.default_rng(seed)
-        small = lambda n: rng.normal(0, 0.1, (n, WIDTH))
+        small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         by_class = np.bincount(counts.classes, counts.unigram, minlength=CLASSES)
         with np.errstate(divide="ignore"):
-            return Model(small(CONTEXTS), small(CONTEXTS), small(CLASSES), np.maximum(np.log(by_class), -50.0), small(CONTEXTS), small(len(counts.unigram)), np.log(counts.unigram / by_class[counts.classes]))
+            bc, b = np.maximum(np.log(by_class), -50.0), np.log(counts.unigram / by_class[counts.classes])
+        return Model(small(CONTEXTS), small(CONTEXTS), small(CLASSES), bc.astype(np.float32), small(CONTEXTS), small(len(counts.unigram)), b.astype(np.float32))
 
     def class_normalisers(self, k1: int) -> np.ndarray:
         """Log of the sum of exp(score) over the classes after (k1, each context)."""
@@ -193,8 +194,8 @@ class Model:
     def log_probs(self, k1: np.ndarray, k2: np.ndarray, w: np.ndarray, counts: Counts, z: np.ndarray, zw: np.ndarray) -> np.ndarray:
         """Natural log probabilities of entries after contexts; z (context x context) and zw (class x context) are the normalisers."""
         c = counts.classes[w]
-        of_class = ((self.r1[k1] + self.r2[k2]) * self.qc[c]).sum(1) + self.bc[c] - z[k1, k2]
-        return of_class + (self.u[k2] * self.q[w]).sum(1) + self.b[w] - zw[c, k2]
+        of_class = np.einsum("ij,ij->i", self.r1[k1] + self.r2[k2], self.qc[c]) + self.bc[c] - z[k1, k2]
+        return of_class.astype(np.float64) + (np.einsum("ij,ij->i", self.u[k2], self.q[w]) + self.b[w] - zw[c, k2])
 
 
 def _log_sums(scores: np.ndarray) -> np.ndarray:
@@ -204,20 +205,29 @@ def _log_sums(scores: np.ndarray) -> np.ndarray:
 
 
 class _Steps:
-    """Adaptive steps of a table's rows."""
+    """Adaptive steps of the rows of tables that have the same rows."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.squares = table, np.full(table.shape, 1e-8)
+    def __init__(self, *tables: np.ndarray):
+        self.tables, self.squares = tables, [np.full(t.shape, 1e-8, np.float32) for t in tables]
 
-    def __call__(self, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    def __call__(self, rows: np.ndarray, rate: float, *gradients: np.ndarray) -> None:
         """Sums the gradients of equal rows and moves those."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+        keys = np.sort(rows << 32 | np.arange(len(rows)))
+        order, rows = keys & 0xFFFFFFFF, keys >> 32
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        d, rows = np.add.reduceat(gradient[order], first, axis=0), rows[first]
-        s = self.squares[rows] + d * d
-        self.squares[rows] = s
-        self.table[rows] += rate * d / np.sqrt(s)
+        rows = rows[first]
+        for table, squares, gradient in zip(self.tables, self.squares, gradients):
+            d = np.add.reduceat(gradient[order], first, axis=0)
+            s = squares[rows]
+            s += d * d
+            squares[rows] = s
+            d *= rate
+            d /= np.sqrt(s, out=s)
+            table[rows] += d
+
+    @staticmethod
+    def of(model: "Model") -> dict[str, "_Steps"]:
+        return {"k1": _Steps(model.r1), "k2": _Steps(model.r2, model.u), "class": _Steps(model.qc, model.bc), "entry": _Steps(model.q, model.b)}
 
 
 def nce(model: Model, steps: dict[str, _Steps], triples: np.ndarray, weights: np.ndarray, counts: Counts, seed: int) -> None:
@@ -227,7 +237,8 @@ def nce(model: Model, steps: dict[str, _Steps], triples: np.ndarray, weights: np
     n_entries = len(counts.classes)
     by_class = np.bincount(counts.classes, counts.unigram, minlength=CLASSES)
     with np.errstate(divide="ignore"):
-        log_class, log_entry = np.log(by_class) + np.log(NOISE), np.log(counts.unigram / by_class[counts.classes]) + np.log(NOISE_WORDS)
+        log_class = (np.log(by_class) + np.log(NOISE)).astype(np.float32)
+        log_entry = (np.log(counts.unigram / by_class[counts.classes]) + np.log(NOISE_WORDS)).astype(np.float32)
     up_to = np.append(0, np.cumsum(counts.unigram))
     size = -(-len(triples) // STEPS)
     scale = len(triples) / size / weights.sum()
@@ -237,10 +248,10 @@ def nce(model: Model, steps: dict[str, _Steps], triples: np.ndarray, weights: np
         rate = RATE * (1 - lo / len(order))
         pair, w = np.divmod(triples[own], n_entries)
         k1, k2 = np.divmod(pair, CONTEXTS)
-        weight, c = weights[own] * scale, counts.classes[w]
+        weight, c = (weights[own] * scale).astype(np.float32), counts.classes[w]
         h = model.r1[k1] + model.r2[k2]
         noise = rng.choice(CLASSES, NOISE, p=by_class)
-        real = (h * model.qc[c]).sum(1) + model.bc[c] - log_class[c]
+        real = np.einsum("ij,ij->i", h, model.qc[c]) + model.bc[c] - log_class[c]
         fake = h @ model.qc[noise].T + model.bc[noise] - log_class[noise]
         g = weight / (1 + np.exp(np.clip(real, -30, 30)))
         f = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
@@ -250,21 +261,18 @@ def nce(model: Model, steps: dict[str, _Steps], triples: np.ndarray, weights: np
         lows, highs = up_to[counts.bounds[c]], up_to[counts.bounds[c + 1]]
         other = np.searchsorted(up_to, lows[:, None] + rng.random((len(own), NOISE_WORDS)) * (highs - lows)[:, None], "right") - 1
         other = np.clip(other, counts.bounds[c][:, None], counts.bounds[c + 1][:, None] - 1)
-        t, qo = model.u[k2], model.q[other]
-        real = (t * model.q[w]).sum(1) + model.b[w] - log_entry[w]
+        t, qw, qo = model.u[k2], model.q[w], model.q[other]
+        real = np.einsum("ij,ij->i", t, qw) + model.b[w] - log_entry[w]
         fake = np.einsum("ij,ikj->ik", t, qo) + model.b[other] - log_entry[other]
         gw = weight / (1 + np.exp(np.clip(real, -30, 30)))
         fw = -weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
-        dt = gw[:, None] * model.q[w] + np.einsum("ik,ikj->ij", fw, qo)
+        dt = gw[:, None] * qw + np.einsum("ik,ikj->ij", fw, qo)
         entries = np.concatenate([w, other.ravel()])
         dw, dbw = np.concatenate([gw[:, None] * t, (fw[:, :, None] * t[:, None, :]).reshape(-1, WIDTH)]), np.concatenate([gw, fw.ravel()])
-        steps["r1"](k1, dh, rate)
-        steps["r2"](k2, dh, rate)
-        steps["qc"](rows, dq, rate)
-        steps["bc"](rows, db, rate)
-        steps["u"](k2, dt, rate)
-        steps["q"](entries, dw, rate)
-        steps["b"](entries, dbw, rate)
+        steps["k1"](k1, rate, dh)
+        steps["k2"](k2, rate, dh, dt)
+        steps["class"](rows, rate, dq, db)
+        steps["entry"](entries, rate, dw, dbw)
 
 
 def _context(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +313,7 @@ def train(training: DataFrame, counts: Counts) -> tuple[Model, np.ndarray, np.nd
             keys, weights = _tally(held)
             if trained is None:
                 trained = Model.start(own)
-                steps.update({name: _Steps(getattr(trained, name)) for pair in Model.TABLES for name in pair if name})
+                steps.update(_Steps.of(trained))
             nce(trained, steps, keys, weights.astype(np.float64), own, len(keys))
             pair, w = np.divmod(keys, n_entries)
             for name, at, n in (("r1", pair // CONTEXTS, CONTEXTS), ("r2", pair % CONTEXTS, CONTEXTS), ("qc", own.classes[w], CLASSES), ("q", w, n_entries)):
