@@ -123,7 +123,7 @@ def _split(v: np.ndarray, spill: float) -> tuple[float, float]:
         return (float(np.median(v)), 0.0) if len(v) else (0.0, 0.0)
     band = v[2 * w :] - v[: -2 * w]
     at = np.arange(w, len(v) - w)
-    best = int((band * np.minimum(at, len(v) - at)).argmax())
+    best = int((band * (np.minimum(at, len(v) - at) / len(v)) ** 2).argmax())
     return float(v[best] + v[best + 2 * w]) / 2, float(band[best]) / 2
 
 
