@@ -28,7 +28,7 @@ from bitloom.llm.common import Words, cut, documents, gather, map_texts, mix, te
 from bitloom.llm.components import components, local_components
 
 #: Classes that meet in one block, and members of their sets; a longer set has a block of its own.
-BLOCK, MEMBERS = 1024, 400_000
+BLOCK, MEMBERS = 1024, 1_000_000
 #: Signatures a routing task works on, about.
 TASK_SIGNATURES = 1_500_000
 #: Size of the bitmap that filters texts; a broadcast of a quarter of a million rows at most.
