@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard join by T-occurrence search over inverted lists (DivideSkip), with components of its links.
 
 1. Every text becomes its set of hashed word n-grams. Equal sets are one class, searched once.
-2. Routing: for sizes a <= b, a similar pair differs in at most (a + b)(1 - t)/(1 + t) members. The members are dealt by hash
-   into one part more than that, so some part holds the same members in both sets. Equal parts tie documents into candidate
-   clusters; each task reduces its signatures to a star per part before the shuffle, so a group of copies costs
-   a row per task and not one per pair.
+2. Routing: under any common order of the members, two similar sets share one of their first |x| - ceil(t |x|) + 1 members each. The order
+   is by how often a member occurs, by a sketch of fixed size that counts all texts' members, and by hash: so passages that many texts share come last, and
+   texts meet on what is rare. Equal members tie documents into candidate clusters; each task reduces its members to a star each
+   before the shuffle, so a group of copies costs a row per task and not one per pair.
 3. Search: the classes of a cluster meet in blocks of about BLOCK classes or MEMBERS members at most. A block has inverted lists of its members; each set
    asks for all others that hold at least T of its members: short lists are heap-merged, long ones binary-probed, and only sets that
    are not yet in the same component are looked for. What comes out is a spanning forest of the links, not all pairs.
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,8 @@ BLOCK, MEMBERS = 1024, 1_000_000
 TASK_SIGNATURES = 1_500_000
 #: Size of the bitmap that filters texts; a broadcast of a quarter of a million rows at most.
 FILTER_BITS = 1 << 24
-#: Up to this many differences, parts without members are told apart by further rounds. Beyond it, a pair whose equal parts are all
-#: empty has a chance below 1e-17.
-FEW = 40
+#: Cells of the sketch, as a power of two, and the parts that it is summed up in.
+CELL_BITS, CELL_PARTS = 20, 64
 
 _ODD = (np.random.default_rng(11).integers(1, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -80,62 +78,20 @@ class Threshold:
         """Least intersection of similar sets of a and b members."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def differences(self, a: int, b: int) -> int:
-        """Most members that only one of two similar sets has."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        """Members of a set of each size that are looked at: similar sets share one of theirs."""
+        return np.where(sizes > 0, sizes + 1 + -self.num * sizes // self.den, 0)
 
-    def level(self, size: int) -> tuple[int, int, int]:
-        """(number, smallest, largest) of the size interval: similar sets lie in the same or in neighbouring intervals."""
-        return _level(self.num, self.den, size)
 
-
-@lru_cache(maxsize=100_000)
-def _level(num: int, den: int, size: int) -> tuple[int, int, int]:
-    i, lo = 0, 1
-    while (hi := lo * den // num) < size:
-        i, lo = i + 1, hi + 1
-    return i, lo, hi
-
-
-def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of its set): similar sets, unless equal, have one in common."""
-    jobs = []  # set, pairing, parts, round
-    for k, s in enumerate(sets):
-        if not len(s):
-            continue
-        i, lo, hi = t.level(len(s))
-        above, below = t.level(hi + 1)[2], t.level(lo - 1)[2] if lo > 1 else 0
-        for pairing, d in ((i, t.differences(hi, above)), (i - 1, t.differences(below, hi))):
-            if pairing >= 0 and (d or pairing == i and hi > lo):
-                jobs.append((k, pairing, d + 1, 0))
-    found, owners = [], []
-    while jobs:
-        parts = np.array([j[2] for j in jobs], np.int64)
-        salt = mix(np.array([(j[1] << 8 | j[3]) + 1 for j in jobs], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sizes = np.array([len(sets[j[0]]) for j in jobs], np.int64)
-        members = np.concatenate([sets[j[0]] for j in jobs])
-        base = np.cumsum(parts) - parts
-        spread = mix(members ^ np.repeat(salt, sizes))
-        part = ((spread >> np.uint64(32)) * np.repeat(parts, sizes).astype(np.uint64)) >> np.uint64(32)
-        cell = np.repeat(base, sizes) + part.astype(np.int64)
-        sums, filled = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
-        np.add.at(sums, cell, mix(spread))
-        filled[cell] = True
-        of = np.repeat(np.arange(len(jobs)), parts)
-        sums = mix(sums + np.arange(len(sums), dtype=np.uint64) - base[of].astype(np.uint64)) ^ salt[of]
-        number = np.array([j[0] for j in jobs], np.int64)
-        found.append(sums[filled])
-        owners.append(number[of[filled]])
-        empty = np.unique(of[~filled])
-        last = [j for j in empty.tolist() if jobs[j][3] >= 3]
-        if last:  # the empty parts themselves
-            keep = ~filled & np.isin(of, last)
-            found.append(sums[keep])
-            owners.append(number[of[keep]])
-        jobs = [(*jobs[j][:3], jobs[j][3] + 1) for j in empty.tolist() if jobs[j][3] < 3 and jobs[j][2] <= FEW]
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
+def signatures(sets: list[np.ndarray], t: Threshold, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of its set): similar sets have one in common. cells: counts of the sketch."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    members = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((members, cells[(members >> np.uint64(64 - CELL_BITS)).astype(np.int64)], owner))
+    place = np.arange(len(members)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < np.repeat(t.prefix(sizes), sizes)
+    return members[order[first]], owner[first]
 
 
 def _stars(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,10 +104,36 @@ def _stars(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sigs[first], docs[first], docs[links], lead[links]
 
 
-def candidate_links(sets: DataFrame, texts: DataFrame, t: Threshold, width: int) -> DataFrame:
+def add_cells(held: list[np.ndarray], counts: np.ndarray) -> None:
+    """Counts members in a sketch of bytes, which stop at 255."""
+    new = np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+    np.minimum(counts + np.minimum(new, 255), 255, out=new)
+    counts[:] = new
+
+
+def summed_cells(cells: DataFrame) -> np.ndarray:
+    """The sketch of all tasks (part, cells): four bytes a cell reach the driver, whatever the size of the input."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(raw, np.uint8)
+                total[part] = total[part] + own if part in total else own.astype(np.uint32)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "cells"])
+
+    out = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint32)
+    for row in cells.repartition(CELL_PARTS, "part").mapInArrow(run, "part int, cells binary").toArrow().to_pylist():
+        out[row["part"]] = np.frombuffer(row["cells"], np.uint32)
+    return out.ravel()
+
+
+def candidate_links(sets: DataFrame, cells: DataFrame, texts: DataFrame, t: Threshold, width: int) -> DataFrame:
     """(a, b): documents tied by a shared signature, reduced to stars."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int(0.4 * total / TASK_SIGNATURES) + 1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(int((1 - t.num / t.den) * total / TASK_SIGNATURES) + 1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sketch = sets.sparkSession.sparkContext.broadcast(summed_cells(cells))  # of fixed size
 
     def deal(batches):
         held, owners, size = [], [], 0
@@ -176,7 +158,7 @@ def candidate_links(sets: DataFrame, texts: DataFrame, t: Threshold, width: int)
                 own = ids.slice(lo, hi - lo)
                 known = np.array(own.is_valid(), bool)
                 own = np.array(own.fill_null(0), np.int64)
-                sigs, of = signatures([s if k else s[:0] for s, k in zip(shingle_sets(data, offsets, width), known)], t)
+                sigs, of = signatures([s if k else s[:0] for s, k in zip(shingle_sets(data, offsets, width), known)], t, sketch.value)
                 if len(sigs):
                     held.append(sigs)
                     owners.append(own[of])
@@ -338,18 +320,35 @@ def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", w
     texts = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
 
     def measure(batches):
+        counts, held, size = np.zeros(1 << CELL_BITS, np.uint8), [], 0
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
+                held += sets
+                size += sum(map(len, sets))
+                if size > TASK_SIGNATURES:
+                    add_cells(held, counts)
+                    held, size = [], 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())],
-                    names=["doc", "n_shingles", "digest"],
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        *(pa.array([None] * len(sets), kind) for kind in (pa.int32(), pa.binary())),
+                    ],
+                    names=["doc", "n_shingles", "digest", "part", "cells"],
                 )
+        if size:
+            add_cells(held, counts)
+        if counts.any():
+            parts = [x.tobytes() for x in counts.reshape(CELL_PARTS, -1)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([None] * CELL_PARTS, kind) for kind in (pa.int64(), pa.int64(), pa.binary())), pa.array(range(CELL_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["doc", "n_shingles", "digest", "part", "cells"])
 
-    sets = cut(map_texts(texts, measure, "doc bigint, n_shingles bigint, digest binary"))
+    measured = cut(map_texts(texts, measure, "doc bigint, n_shingles bigint, digest binary, part int, cells binary"))
+    sets, cells = measured.where("part is null").select("doc", "n_shingles", "digest"), measured.where("part is not null").select("part", "cells")
     leads = sets.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("lead"))
     led = cut(sets.join(leads, "digest", "left").select("doc", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("lead")), F.col("doc")).alias("lead")))
-    clusters = components(candidate_links(sets, texts, t, width)).withColumnsRenamed({"node": "doc", "component": "cluster"})
+    clusters = components(candidate_links(sets, cells, texts, t, width)).withColumnsRenamed({"node": "doc", "component": "cluster"})
     weight = F.greatest(F.lit(1 / BLOCK), F.max("n_shingles") / F.lit(float(MEMBERS)))  # a class's share of a block
     classes = cut(led.where("doc = lead").groupBy("doc").agg(weight.alias("w")).join(clusters, "doc"))
     sized = classes.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("w").alias("all")).where("k > 1")
