@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard join by T-occurrence search over inverted lists (DivideSkip), with components of its links.
 
 1. Every text becomes its set of hashed word n-grams. Equal sets are one class, searched once.
-2. Routing: under any common order of the members, two similar sets share one of their first |x| - ceil(t |x|) + 1 members each. The order
-   is by how often a member occurs, by a sketch of fixed size that counts all texts' members, and by hash: so passages that many texts share come last, and
-   texts meet on what is rare. Equal members tie documents into candidate clusters; each task reduces its members to a star each
-   before the shuffle, so a group of copies costs a row per task and not one per pair.
+2. Routing: for sizes a <= b, a similar pair differs in at most (a + b)(1 - t)/(1 + t) members. The members are dealt by hash
+   into one part more than that, so some part holds the same members in both sets, and of many parts, more than a third. So where there are many,
+   those of few members, which a passage in common makes equal, can be left out. Members that very many texts have, by a sketch of fixed size that counts
+   all texts' members, are left out of the sets first, unless a set has little else. Equal parts tie documents into candidate
+   clusters; each task reduces its signatures to a star per part before the shuffle, so a group of copies costs
+   a row per task and not one per pair.
 3. Search: the classes of a cluster meet in blocks of about BLOCK classes or MEMBERS members at most. A block has inverted lists of its members; each set
    asks for all others that hold at least T of its members: short lists are heap-merged, long ones binary-probed, and only sets that
    are not yet in the same component are looked for. What comes out is a spanning forest of the links, not all pairs.
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,11 @@ TASK_SIGNATURES = 1_500_000
 #: Size of the bitmap that filters texts; a broadcast of a quarter of a million rows at most.
 FILTER_BITS = 1 << 24
 #: Cells of the sketch, as a power of two, and the parts that it is summed up in.
-CELL_BITS, CELL_PARTS = 20, 64
+CELL_BITS, CELL_PARTS = 21, 64
+#: Share of its members that a set must keep to go without the hot ones.
+KEPT = 0.4
+#: Chance that a similar pair has no part that counts in common.
+MISSED = 1e-12
 
 _ODD = (np.random.default_rng(11).integers(1, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -78,20 +86,94 @@ class Threshold:
         """Least intersection of similar sets of a and b members."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def prefix(self, sizes: np.ndarray) -> np.ndarray:
-        """Members of a set of each size that are looked at: similar sets share one of theirs."""
-        return np.where(sizes > 0, sizes + 1 + -self.num * sizes // self.den, 0)
+    def differences(self, a: int, b: int) -> int:
+        """Most members that only one of two similar sets has."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
 
+    def level(self, size: int) -> tuple[int, int, int]:
+        """(number, smallest, largest) of the size interval: similar sets lie in the same or in neighbouring intervals."""
+        return _level(self.num, self.den, size)
 
-def signatures(sets: list[np.ndarray], t: Threshold, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of its set): similar sets have one in common. cells: counts of the sketch."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    members = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.lexsort((members, cells[(members >> np.uint64(64 - CELL_BITS)).astype(np.int64)], owner))
-    place = np.arange(len(members)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = place < np.repeat(t.prefix(sizes), sizes)
-    return members[order[first]], owner[first]
+
+@lru_cache(maxsize=100_000)
+def rounds_and_members(parts: int, size: int) -> tuple[int, int]:
+    """(rounds of dealing, members of a part that counts) of sets of `size` or more, for a chance of missing a similar pair of MISSED at most.
+
+    A part holds no difference with a chance of 1/e, if there are as many differences as can be, at least one part holds none, and members follow
+    a Poisson distribution. One round is enough where parts are many, and then those of few members can be left out; else more are dealt.
+    """
+    mean, below, term, m, first = size / parts, 0.0, math.exp(-size / parts), 1, 1.0
+    while True:
+        below += term  # chance of fewer than m members
+        missed = min(below, (1 - (1 - below) / math.e) ** parts)
+        if m == 1:
+            first = missed
+        if missed > MISSED:
+            return (1, m - 1) if m > 1 else (math.ceil(math.log(MISSED) / math.log(first)), 1)
+        term *= mean / m
+        m += 1
+
+
+@lru_cache(maxsize=100_000)
+def _level(num: int, den: int, size: int) -> tuple[int, int, int]:
+    i, lo = 0, 1
+    while (hi := lo * den // num) < size:
+        i, lo = i + 1, hi + 1
+    return i, lo, hi
+
+
+def signatures(sets: list[np.ndarray], t: Threshold, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of its set): similar sets, unless equal, have one in common. hot: whether a cell's members are left out where that can be.
+
+    A set that keeps more than KEPT of its members goes without the hot ones. Where one of a similar pair keeps no more than that, the other one keeps at
+    most (KEPT + 1 - t) / t; so up to there, a set goes with all its members, too.
+    """
+    jobs = []  # set, pairing, parts, round, least members
+    whole, owner = sets, []
+    sets = []
+    both = (KEPT + 1 - t.num / t.den) / (t.num / t.den)
+    flat = np.concatenate(whole) if whole else np.empty(0, np.uint64)
+    cold = ~hot[(flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    ends = np.append(0, np.cumsum([len(s) for s in whole], dtype=np.int64)).tolist()
+    kept = np.append(0, np.cumsum(cold))[ends].tolist()
+    for number, s in enumerate(whole):
+        if not len(s):
+            continue
+        n = kept[number + 1] - kept[number]
+        variants = [] if n <= KEPT * len(s) else [(1, s[cold[ends[number] : ends[number + 1]]] if n < len(s) else s)]
+        if n <= both * len(s):
+            variants.append((0, s))
+        i, lo, hi = t.level(len(s))
+        above, below = t.level(hi + 1)[2], t.level(lo - 1)[2] if lo > 1 else 0
+        for version, own in variants:
+            for pairing, d in ((i, t.differences(hi, above)), (i - 1, t.differences(below, hi))):
+                if pairing >= 0 and (d or pairing == i and hi > lo):
+                    # of the members, up to d may be this set's alone, so that the other one has so many fewer
+                    rounds, least = rounds_and_members(d + 1, max(len(own) - d, 1))
+                    jobs += [(len(sets), pairing << 1 | version, d + 1, r, least) for r in range(rounds)]
+            sets.append(own)
+            owner.append(number)
+    found, owners = [], []
+    for lo in range(0, len(jobs), 20_000):
+        part_of = jobs[lo : lo + 20_000]
+        parts = np.array([j[2] for j in part_of], np.int64)
+        salt = mix(np.array([(j[1] << 8 | j[3]) + 1 for j in part_of], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sizes = np.array([len(sets[j[0]]) for j in part_of], np.int64)
+        members = np.concatenate([sets[j[0]] for j in part_of])
+        base = np.cumsum(parts) - parts
+        spread = mix(members ^ np.repeat(salt, sizes))
+        part = ((spread >> np.uint64(32)) * np.repeat(parts, sizes).astype(np.uint64)) >> np.uint64(32)
+        cell = np.repeat(base, sizes) + part.astype(np.int64)
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, cell, mix(spread))
+        of = np.repeat(np.arange(len(part_of)), parts)
+        counts = np.bincount(cell, minlength=len(sums)) >= np.array([j[4] for j in part_of])[of]
+        sums = mix(sums + np.arange(len(sums), dtype=np.uint64) - base[of].astype(np.uint64)) ^ salt[of]
+        found.append(sums[counts])
+        owners.append(np.array([owner[j[0]] for j in part_of], np.int64)[of[counts]])
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _stars(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +214,11 @@ def summed_cells(cells: DataFrame) -> np.ndarray:
 def candidate_links(sets: DataFrame, cells: DataFrame, texts: DataFrame, t: Threshold, width: int) -> DataFrame:
     """(a, b): documents tied by a shared signature, reduced to stars."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int((1 - t.num / t.den) * total / TASK_SIGNATURES) + 1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sketch = sets.sparkSession.sparkContext.broadcast(summed_cells(cells))  # of fixed size
+    buckets = max(int(0.4 * total / TASK_SIGNATURES) + 1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    counted = summed_cells(cells)
+    mean = float(counted.mean())
+    hot = sets.sparkSession.sparkContext.broadcast(counted > mean + 6 * math.sqrt(mean) + 20)  # of fixed size; far more than members of single texts make
 
     def deal(batches):
         held, owners, size = [], [], 0
@@ -158,7 +243,7 @@ def candidate_links(sets: DataFrame, cells: DataFrame, texts: DataFrame, t: Thre
                 own = ids.slice(lo, hi - lo)
                 known = np.array(own.is_valid(), bool)
                 own = np.array(own.fill_null(0), np.int64)
-                sigs, of = signatures([s if k else s[:0] for s, k in zip(shingle_sets(data, offsets, width), known)], t, sketch.value)
+                sigs, of = signatures([s if k else s[:0] for s, k in zip(shingle_sets(data, offsets, width), known)], t, hot.value)
                 if len(sigs):
                     held.append(sigs)
                     owners.append(own[of])
