@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, in_order, joined_units, keep_columns, map_texts, out_schema, text_slices
+from bitloom.llm.common import Numbering, UnitMemory, documents, gather, group_sums, held_by, in_order, joined_units, keep_columns, map_texts, out_schema, text_slices
 
 
 #: Pre-token patterns whose matches never run across the cuts of `common.unit_offsets` (fixed values); texts under another pattern stay whole.
@@ -195,19 +195,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: Codecs of this Python worker, by call and pattern; later tasks of the worker find them filled.
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(spark: SparkSession, path: str, pattern: str):
-    """A function that gives the worker's codec. The rank file's size is fixed, so it is broadcast."""
+    """A function that gives the worker's codec; later tasks of the call find it filled. The rank file's size is fixed, so it is broadcast."""
     shared, key = spark.sparkContext.broadcast(load_ranks(path)), (uuid.uuid4().hex, pattern)
 
     def get() -> Codec:
-        if key not in _CODECS:
-            _CODECS.clear()
-            _CODECS[key] = Codec(shared.value, pattern)
-        return _CODECS[key]
+        codecs = held_by("bpe")
+        if key not in codecs:
+            codecs.clear()
+            codecs[key] = Codec(shared.value, pattern)
+        return codecs[key]
 
     return get
 
@@ -230,7 +227,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
                 new = {out: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids.astype(np.int32)))}
                 yield keep_columns(batch.slice(lo, hi - lo), names, new | ({decoded: codec.decode_run(ids, counts)} if decoded else {}))
 
-    return map_texts(df, run, schema)
+    return map_texts(df, run, schema, "bpe")
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -248,7 +245,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
                 counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
                 yield keep_columns(part, names, {out: codec.decode_run(np.array(lists.flatten(), np.int64), counts)})
 
-    return map_texts(df, run, schema)
+    return map_texts(df, run, schema, "bpe")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,12 +50,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of BATCH_BYTES: the session's own bound is lowered if it is above."""
+#: What operators keep in a Python worker between its tasks, by operator.
+HELD: dict[str, dict] = {}
+
+
+def held_by(operator: str | None) -> dict:
+    """What the operator keeps in this worker; what others kept is let go, as workers serve one operator after another."""
+    for other in [k for k in HELD if k != operator]:
+        del HELD[other]
+    return HELD.setdefault(operator, {}) if operator else {}
+
+
+def map_texts(df: DataFrame, run, schema, operator: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of BATCH_BYTES: the session's own bound is lowered if it is above. operator: whose `held_by` the tasks use."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not conf.get(key).removesuffix("b").isdigit() or int(conf.get(key).removesuffix("b")) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        held_by(operator)
+        yield from run(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -271,7 +287,7 @@ class UnitMemory:
     are held, the rarely used ones are forgotten; results don't depend on that. Without `cuts`, a unit is a whole text; strings in `whole` are never cut.
     """
 
-    def __init__(self, encode_units, bound: int = 400_000, cuts: bool = True, whole: tuple[bytes, ...] = ()):
+    def __init__(self, encode_units, bound: int = 200_000, cuts: bool = True, whole: tuple[bytes, ...] = ()):
         self.encode_units, self.bound, self.cuts, self.whole = encode_units, bound, cuts, whole
         self.known = Numbering()
         self.ids = np.empty(0, np.int32)

@@ -23,7 +23,7 @@ SAMPLE_ROWS = 3000
 #: Words of up to so many bytes go through the forward pass side by side, in plain numbers; longer ones one at a time, in logarithms.
 SHORT = 24
 #: Words whose log probabilities a task remembers.
-HELD_WORDS = 300_000
+HELD_WORDS = 150_000
 ROUNDS = 5
 #: Count that a piece of one byte has before any text, and its share for every further byte: a long piece that no text has is as unlikely as its bytes.
 PRIOR, PRIOR_BYTE = 0.05, 1 / 16
@@ -122,7 +122,7 @@ def arcs(pieces: Pieces, sums: np.ndarray, inverse: np.ndarray, starts: np.ndarr
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == h)
                 if len(hit):
-                    found.append((i, i + n, hit, numbers[at[hit]], begins))
+                    found.append((i, i + n, hit.astype(np.int32), numbers[at[hit]].astype(np.int32), begins))
     return found
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.llm.common import held_by
+
 
 def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About `rows` rows of df, never more than twice as many, chosen by a hash of the key: all of them if df has no more. The plan is the same at every size."""
@@ -23,6 +25,7 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        held_by(None)
         held = list(batches)
         table = pa.Table.from_batches(held) if held else to_arrow_schema(schema).empty_table()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from bitloom.llm import files
-from bitloom.llm.common import UnitMemory, documents, in_order, joined_units, keep_columns, map_texts, out_schema, shared_path, text_slices
+from bitloom.llm.common import UnitMemory, documents, held_by, in_order, joined_units, keep_columns, map_texts, out_schema, shared_path, text_slices
 
 BLOCK = 512
 MAGIC = b"DACIDS1\n"
@@ -328,15 +328,13 @@ class LibraryEncoder:
         return (ids, counts) if end_id is None else (np.insert(ids, np.cumsum(counts), end_id), counts + 1)
 
 
-#: Encoder of this Python worker, by its model; later tasks of the worker find it filled.
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def encoder(model: str) -> LibraryEncoder:
-    if model not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model] = LibraryEncoder(model)
-    return _ENCODERS[model]
+    """The worker's encoder for a model; later tasks find it filled."""
+    encoders = held_by("token_files")
+    if model not in encoders:
+        encoders.clear()
+        encoders[model] = LibraryEncoder(model)
+    return encoders[model]
 
 
 def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = None, text: str = "text", out: str = "token_ids", keep_text: bool = False) -> DataFrame:
@@ -356,7 +354,7 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = None, text:
                 ids, counts = own.encode_run(data, offsets, end_id)
                 yield keep_columns(batch.slice(lo, hi - lo), names, {out: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))})
 
-    return map_texts(df, run, schema)
+    return map_texts(df, run, schema, "token_files")
 
 
 def write(df: DataFrame, path: str, bits: int = 8) -> None:
