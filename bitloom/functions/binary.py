@@ -83,8 +83,16 @@ def ieee(data: Column, start: Place, length: int, little: bool = False) -> Colum
 
 
 def _try_decimal(digits: Column, scale: int) -> Column:
-    """Digits with a virtual point before the last `scale`."""
-    return (digits.try_cast("decimal(38,0)") / F.lit(10**scale).cast("decimal(38,0)")).cast(f"decimal(38,{max(scale, 0)})") if scale else digits.try_cast("decimal(38,0)")
+    """Digits with a virtual point before the last `scale`, put into their text so that none is lost."""
+    return with_point(digits, scale).try_cast(f"decimal(38,{scale})")
+
+
+def with_point(digits: Column, scale: int) -> Column:
+    """A text of digits with a point before its last `scale`."""
+    if not scale:
+        return digits
+    filled = F.lpad(digits, F.greatest(F.length(digits), F.lit(scale + 1)), F.lit("0"))
+    return F.concat(F.substring(filled, F.lit(1), F.length(filled) - scale), F.lit("."), F.right(filled, F.lit(scale)))
 
 
 def bcd(part: Column, scale: int = 0) -> Column:

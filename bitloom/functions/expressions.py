@@ -32,6 +32,25 @@ def _substring(s: Column, start: Column, length: Column | None = None) -> Column
     return F.substring(s, lo.cast("int"), F.greatest(F.least(end, F.length(s) + 1) - lo, F.lit(0)).cast("int"))
 
 
+def _look_ahead(data: Column, at: Column, offset: int, bits: int) -> Column:
+    """The unsigned integer of 1 to 56 bits that stands `offset` bits after byte `at` of data (counted from 0); null beyond the end."""
+    if not 1 <= bits <= 56:
+        raise ValueError("1 to 56 bits")
+    first, skip = divmod(offset, 8)
+    n = -(-(skip + bits) // 8)
+    low = min(n, 7)  # a last byte apart, where eight are touched
+    part = F.substring(data, at.cast("int") + first + 1, F.lit(n))
+    number = F.conv(F.hex(F.substring(part, F.lit(1), F.lit(low))), 16, 10).cast("bigint")
+    if n == 8:
+        rest = 8 * n - skip - bits
+        head = number.bitwiseAND(F.lit((1 << (56 - skip)) - 1))
+        last = F.conv(F.hex(F.substring(part, F.lit(8), F.lit(1))), 16, 10).cast("bigint")
+        value = F.shiftleft(head, 8 - rest).bitwiseOR(F.shiftright(last, rest))
+    else:
+        value = F.shiftright(number, 8 * n - skip - bits).bitwiseAND(F.lit((1 << bits) - 1))
+    return F.when(F.octet_length(part) == n, value)
+
+
 #: Name in schemas -> function on columns.
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "concat": F.concat,
@@ -52,6 +71,15 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "floor": F.floor,
     "round": lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")),
     "round-half-to-even": lambda x, n=0: F.bround(x, n),
+    "roundHalfToEven": lambda x, n=0: F.bround(x, n),
+    "error": lambda *message: F.raise_error(message[0] if message else F.lit("error")),
+    "valueLength": lambda x, unit="bytes": {"bytes": F.octet_length, "bits": F.bit_length, "characters": F.char_length}[unit](x),
+    "contentLength": lambda x, unit="bytes": {"bytes": F.octet_length, "bits": F.bit_length, "characters": F.char_length}[unit](x),
+    "lookAhead": _look_ahead,
+    "time": lambda x: F.concat(F.lit("1970-01-01 "), x.cast("string")).try_cast("timestamp"),  # a time of the first day
+    "hours-from-time": F.hour,
+    "minutes-from-time": F.minute,
+    "seconds-from-time": F.second,
     "exists": lambda x: x.isNotNull(),
     "empty": lambda x: x.isNull(),
     "count": F.size,
@@ -96,7 +124,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "trace": lambda x, *_: x,
     # operators
     "div": lambda a, b: F.when(b != 0, a / b),
-    "idiv": lambda a, b: F.when(b != 0, F.floor(F.abs(a) / F.abs(b)) * F.signum(a) * F.signum(b)).cast("bigint"),
+    "idiv": lambda a, b: F.when(b != 0, F.call_function("div", a, b)).cast("bigint"),
     "mod": lambda a, b: F.when(b != 0, a % b),
     "if": lambda test, yes, no: F.when(test, yes).otherwise(no),
 }
@@ -106,5 +134,5 @@ def call(name: str, *args) -> Column:
     """The function's column; numbers and texts among the arguments are literals (shift widths and digits stay numbers)."""
     if name not in FUNCTIONS:
         raise ValueError(f"no function {name!r}")
-    plain = name in ("leftShift", "rightShift", "round-half-to-even")
+    plain = name in ("leftShift", "rightShift", "round-half-to-even", "roundHalfToEven", "lookAhead", "valueLength", "contentLength")
     return FUNCTIONS[name](*(a if isinstance(a, Column) or plain else F.lit(a) for a in args))

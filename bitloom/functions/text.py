@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bitloom.functions.binary import with_point
+
 # -- numbers ---------------------------------------------------------------------------------------
 
 
@@ -91,8 +93,7 @@ def zoned(text: Column, style: str = "standard", scale: int = 0) -> Column:
     last = F.right(text, F.lit(1))
     both = plus + minus
     digit = F.translate(last, both, "0123456789" * 2)
-    value = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), digit).try_cast("decimal(38,0)")
-    value = (value / F.lit(10**scale)).cast(f"decimal(38,{scale})") if scale else value
+    value = with_point(F.concat(F.substring(text, F.lit(1), F.length(text) - 1), digit), scale).try_cast(f"decimal(38,{scale})")
     return F.when(last.isin(*minus), -value).when(last.isin(*plus), value)
 
 
@@ -193,7 +194,7 @@ _ENTITY = re.compile(r"%(?:%|#x([0-9A-Fa-f]+);|#([0-9]+);|#r([0-9A-Fa-f]{2});|([
 
 
 def delimiter(spec: str, ignore_case: bool = False) -> str:
-    """Regular expression of a delimiter: alternatives apart by spaces, the longest first, with %entities; in them."""
+    """Regular expression of a delimiter: alternatives apart by spaces, the one of most characters first, with %entities; in them (each counts as one)."""
 
     def one(text: str) -> str:
         out, at = "", 0
@@ -211,7 +212,7 @@ def delimiter(spec: str, ignore_case: bool = False) -> str:
             at = m.end()
         return out + re.escape(text[at:])
 
-    return ("(?i)" if ignore_case else "") + "(?:" + "|".join(one(t) for t in sorted(spec.split(), key=len, reverse=True)) + ")"
+    return ("(?i)" if ignore_case else "") + "(?:" + "|".join(one(t) for t in sorted(spec.split(), key=lambda t: len(_ENTITY.sub("x", t)), reverse=True)) + ")"
 
 
 def entities_decoded(text: Column) -> Column:
@@ -222,14 +223,18 @@ def entities_decoded(text: Column) -> Column:
 
 
 def split_fields(text: Column, separator: str, escape: str | None = None, quote: str | None = None) -> Column:
-    """Fields between separators (a delimiter expression); one after an odd number of escapes, or inside a quoted block, is text."""
+    """Fields between separators (a delimiter expression); one after an odd number of escapes, or inside a quoted block, is text.
+
+    A field may hold any character and be of any length: its pattern is possessive, which takes no stack.
+    """
     if quote:
         q = re.escape(quote)
-        return F.transform(F.regexp_extract_all(F.concat(text, F.lit("\x1f")), F.lit(rf"((?:{q}(?:[^{q}]|{q}{q})*{q}|(?!{separator})[^\x1f])*)(?:{separator}|\x1f)"), F.lit(1)), lambda x: unquoted(x, quote))
+        block = rf"{q}(?:[^{q}]|{q}{q})*+{q}"
+        return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?:\A|{separator})((?:{block}|(?!{separator}).)*+)"), F.lit(1)), lambda x: unquoted(x, quote))
     if escape:
         e = re.escape(escape)
-        found = F.regexp_extract_all(F.concat(text, F.lit("\x1f")), F.lit(rf"((?:{e}.|(?!{separator})[^\x1f])*)(?:{separator}|\x1f)"), F.lit(1))
-        return F.transform(found, lambda x: F.regexp_replace(x, rf"{e}(.)", "$1"))
+        found = F.regexp_extract_all(text, F.lit(rf"(?s)(?:\A|{separator})((?:{e}.|(?!{separator}).)*+)"), F.lit(1))
+        return F.transform(found, lambda x: F.regexp_replace(x, rf"(?s){e}(.)", "$1"))
     return F.split(text, separator, -1)
 
 

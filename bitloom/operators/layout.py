@@ -134,13 +134,15 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    made = 0
+    made, given = 0, df.columns
+    taken = {c.lower() for c in given}
 
     def helper(value: Column) -> Column:
         """A column of its own for value."""
         nonlocal df, made
         made += 1
-        name = f"_{out}_{made}"
+        while (name := f"_{out}_{made}").lower() in taken:
+            made += 1
         df = df.withColumn(name, value)
         return F.col(name)
 
@@ -230,8 +232,8 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
                     n = helper(F.length(F.regexp_extract(rest, f"^(?:{length.regex})", 0)))
                     part, move = _slice(data, start, n), n
                 else:
-                    n = helper(F.length(F.regexp_extract(rest, f"(?s)^(?:(?!{length.regex}).)*", 0)))
-                    part, move = F.substring(data, start + 1, n), n + F.length(F.regexp_extract(F.substring(rest, n + 1, F.length(rest)), f"^{length.regex}", 0))
+                    n = helper(F.length(F.regexp_extract(rest, f"(?s)^(?:(?!{length.regex}).)*+", 0)))  # possessive: takes no stack
+                    part, move = F.substring(data, start + 1, n), n + F.length(F.regexp_extract(F.substring(rest, n + 1, F.length(rest)), f"^(?:{length.regex})", 0))
             else:
                 n = helper(length(fields).cast("int"))
                 part, move = _slice(data, start, n), F.coalesce(n, F.lit(0))
@@ -242,7 +244,7 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
                 errors += term.facets.failures(fields[term.name], term.name)
             step(move)
     found = F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast("array<string>")
-    names = [c for c in df.columns if not c.startswith(f"_{out}_")]
+    names = [c for c in given if c.lower() not in (out.lower(), f"{out}_errors".lower())]
     df = df.select(*names, F.struct(*[fields[n].alias(n) for n in shown]).alias(out), found.alias(f"{out}_errors"))
     if mode == "DROPMALFORMED":
         return df.where(F.size(f"{out}_errors") == 0)

@@ -78,7 +78,11 @@ class _Reader(DataSourceReader):
             number = 0
             while len(head := f.read(16)) == 16:
                 seconds, part, kept, length = struct.unpack(order + "4I", head)
-                yield partition.path, number, datetime.fromtimestamp(seconds, timezone.utc).replace(microsecond=int(part * unit * 1e6 + 0.5)), length, f.read(kept)
+                data = f.read(kept)
+                if len(data) < kept:
+                    raise ValueError(f"{partition.path} ends within packet {number}")
+                carry, micros = divmod(int(part * unit * 1e6 + 0.5), 1_000_000)
+                yield partition.path, number, datetime.fromtimestamp(seconds + carry, timezone.utc).replace(microsecond=micros), length, data
                 number += 1
 
 

@@ -104,6 +104,51 @@ def test_delimiters_and_escapes(spark):
     assert of_text(spark, "", lambda t: X.split_fields(t, ",")) == [""]
 
 
+@pytest.mark.parametrize("size", [2_000, 1_000_000])
+def test_fields_of_any_length_and_character(spark, size):
+    odd = "".join(map(chr, range(1, 32))) + "\x7f\x85é😀"
+    long = "x" * size
+    assert of_text(spark, f"{long},a\\,{odd},", lambda t: X.split_fields(t, ",", escape="\\")) == [long, "a," + odd, ""]
+    assert of_text(spark, f'"{long},{odd}",{long}', lambda t: X.split_fields(t, ",", quote='"')) == [f"{long},{odd}", long]
+    assert of_text(spark, "a\x1fb,c", lambda t: X.split_fields(t, ",", escape="\\")) == ["a\x1fb", "c"]
+    assert of_text(spark, "", lambda t: X.split_fields(t, ",", quote='"')) == [""]
+    layout = [L.Element("a", L.Delimited(";"), lambda p: p), L.Element("b", L.Pattern("[a-z]*+"), lambda p: p)]
+    got = L.parse(spark.createDataFrame([((long + odd.replace(";", "") + ";" + long).encode(),)], "payload binary"), "payload", layout).first().record
+    assert bytes(got.a) == (long + odd).encode() and bytes(got.b) == long.encode()
+
+
+def test_delimiters_of_most_characters_first(spark):
+    assert of_text(spark, "a;;b c", lambda t: X.split_fields(t, X.delimiter("%WSP+; ; ;;"))) == ["a", "b", "c"]
+
+
+def test_digits_beyond_six_stay(spark):
+    assert of_bytes(spark, bytes.fromhex("123456789C"), lambda p: B.packed(p, 8)) == Decimal("1.23456789")
+    assert of_bytes(spark, bytes.fromhex("05"), lambda p: B.bcd(p, 4)) == Decimal("0.0005")
+    assert of_text(spark, "12345678y", lambda t: X.zoned(t, scale=8)) == Decimal("-1.23456789")
+    assert one(spark, call("idiv", F.lit(9007199254740993), 1)) == 9007199254740993
+
+
+@pytest.mark.parametrize("offset,bits", [(0, 8), (3, 5), (12, 56), (5, 52), (17, 1)])
+def test_look_ahead(spark, offset, bits):
+    raw = bytes([0xFF, *range(0x91, 0x9F)])
+    want = int.from_bytes(raw[1:], "big") >> (8 * 14 - offset - bits) & ((1 << bits) - 1)
+    assert of_bytes(spark, raw, lambda p: call("lookAhead", p, F.lit(1), offset, bits)) == want
+    assert of_bytes(spark, raw[:2], lambda p: call("lookAhead", p, F.lit(1), 10, 20)) is None
+
+
+def test_times_lengths_and_errors(spark):
+    assert of_text(spark, "12:34:56", lambda t: call("hours-from-time", call("time", t))) == 12
+    assert of_text(spark, "12:34:56", lambda t: call("minutes-from-time", call("time", t))) == 34
+    assert of_text(spark, "é", lambda t: call("valueLength", t)) == 2 and of_text(spark, "é", lambda t: call("contentLength", t, "characters")) == 1
+    with pytest.raises(Exception, match="wrong here"):
+        one(spark, call("error", "wrong here"))
+
+
+def test_columns_of_a_user_stay(spark):
+    df = spark.createDataFrame([(b"\x01", 5)], "payload binary, _record_1 int")
+    assert L.parse(df.withColumn("_record_key", F.lit(7)), "payload", [L.Element("n", 1, lambda p: B.uint(p, 0, 1))]).select("_record_1", "_record_key", "record.n").first() == (5, 7, 1)
+
+
 def test_text_values(spark):
     assert of_text(spark, "..ab..", lambda t: X.trimmed(t, ".", "center")) == "ab"
     assert of_text(spark, "ab", lambda t: X.padded(t, 5, "*", "center")) == "*ab**"
