@@ -16,29 +16,42 @@ def _col(x: Place) -> Column:
 
 
 def cut(data: Column, start: Place, length: Place) -> Column:
-    """length bytes from start, or null where fewer are left."""
-    part = F.substring(data, _col(start) + 1, _col(length))
-    return F.when(F.octet_length(part) == _col(length), part)
+    """length bytes from start, or null where fewer are left. The bytes stand in one branch, so that they are taken once."""
+    end = start + length if isinstance(start, int) and isinstance(length, int) else _col(start) + _col(length)
+    enough = F.octet_length(data) >= end
+    if isinstance(length, Column):
+        enough = enough & (length >= 0)
+    return F.when(enough, F.substring(data, _col(start + 1), _col(length)))
 
 
 def reverse_bytes(part: Column, length: int) -> Column:
     """Bytes in the other order."""
-    return F.concat(*[F.substring(part, i, 1) for i in range(length, 0, -1)])
+    return part if length == 1 else F.concat(*[F.substring(part, i, 1) for i in range(length, 0, -1)])
+
+
+def whole(part: Column, length: int, little: bool = False, signed: bool = False) -> Column:
+    """Integer of all bytes of part, of which there are `length` (1 to 8): bigint, or decimal(20,0) for 8 unsigned ones. Names part once unless little."""
+    digits = F.hex(reverse_bytes(part, length) if little else part)
+    if length == 8:
+        return F.conv(digits, 16, -10).cast("bigint") if signed else F.conv(digits, 16, 10).cast("decimal(20,0)")
+    value = F.conv(digits, 16, 10).cast("bigint")
+    return _signed(value, 8 * length) if signed else value
 
 
 def uint(data: Column, start: Place, length: int, little: bool = False) -> Column:
     """Unsigned integer of 1 to 8 bytes: bigint, or decimal(20,0) for 8."""
-    part = cut(data, start, length)
-    digits = F.conv(F.hex(reverse_bytes(part, length) if little else part), 16, 10)
-    return digits.cast("bigint" if length < 8 else "decimal(20,0)")
+    return whole(cut(data, start, length), length, little)
 
 
 def sint(data: Column, start: Place, length: int, little: bool = False) -> Column:
     """Two's-complement integer of 1 to 8 bytes as bigint."""
-    u = uint(data, start, length, little)
-    if length == 8:
-        return F.when(u >= F.lit("9223372036854775808").cast("decimal(20,0)"), u - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(u).cast("bigint")
-    return F.when(u >= 1 << (8 * length - 1), u - (1 << (8 * length))).otherwise(u)
+    return whole(cut(data, start, length), length, little, True)
+
+
+def _signed(u: Column, width: int) -> Column:
+    """The two's-complement value of `width` bits that u holds unsigned; names u once."""
+    top = F.lit(1 << (width - 1)).cast("bigint")
+    return u.bitwiseXOR(top) - top
 
 
 def bits(data: Column, start: int, length: int, lsb_first: bool = False) -> Column:
@@ -60,8 +73,7 @@ def bits(data: Column, start: int, length: int, lsb_first: bool = False) -> Colu
 
 def signed_bits(data: Column, start: int, length: int, lsb_first: bool = False) -> Column:
     """Two's-complement integer of 2 to 56 bits."""
-    u = bits(data, start, length, lsb_first)
-    return F.when(u >= 1 << (length - 1), u - (1 << length)).otherwise(u)
+    return _signed(bits(data, start, length, lsb_first), length)
 
 
 def ieee(data: Column, start: Place, length: int, little: bool = False) -> Column:
@@ -134,14 +146,15 @@ def enumerated(value: Column, names: dict[int, str], ranges: list[tuple[int, int
 def put_uint(value: Column, length: int, little: bool = False) -> Column:
     """Bytes of a non-negative integer; one that doesn't fit gives null."""
     part = F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * length, "0"))
-    part = F.when((F.length(F.hex(value.cast("bigint"))) <= 2 * length), part)
+    if length < 8:
+        part = F.when(value.cast("bigint").between(0, (1 << 8 * length) - 1), part)
     return reverse_bytes(part, length) if little else part
 
 
 def put_sint(value: Column, length: int, little: bool = False) -> Column:
     """Bytes of a two's-complement integer."""
     wide = F.lpad(F.hex(value.cast("bigint")), 16, "0")
-    part = F.unhex(F.right(wide, F.lit(2 * length)))
+    part = F.unhex(wide if length == 8 else F.right(wide, F.lit(2 * length)))
     return reverse_bytes(part, length) if little else part
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.functions.binary import cut
 from bitloom.functions.facets import Facets
 
 Fields = dict[str, Column]
@@ -118,9 +119,7 @@ MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
 def _slice(data: Column, at, length) -> Column:
-    n = F.lit(length) if isinstance(length, int) else length
-    part = F.substring(data, (F.lit(at) if isinstance(at, int) else at) + 1, n)
-    return F.when(F.octet_length(part) == n, part)
+    return cut(data, at, length)
 
 
 def _fixed(terms: list) -> int:

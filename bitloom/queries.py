@@ -53,7 +53,7 @@ def cents(c: Column) -> Column:
 
 def number(length: int, little: bool = False, signed: bool = False):
     """Decoder of an integer that fills its bytes."""
-    return lambda part: (B.sint if signed else B.uint)(part, 0, length, little)
+    return lambda part: B.whole(part, length, little, signed)
 
 
 @F.pandas_udf(T.BinaryType())
