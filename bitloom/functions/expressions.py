@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bitloom.functions.text import entities_decoded, entities_encoded
 
 def _ranged(kind: str, lo: int, hi: int) -> Callable[[Column], Column]:
     def cast(x: Column) -> Column:
@@ -76,6 +77,8 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "valueLength": lambda x, unit="bytes": {"bytes": F.octet_length, "bits": F.bit_length, "characters": F.char_length}[unit](x),
     "contentLength": lambda x, unit="bytes": {"bytes": F.octet_length, "bits": F.bit_length, "characters": F.char_length}[unit](x),
     "lookAhead": _look_ahead,
+    "encodeDFDLEntities": entities_encoded,
+    "decodeDFDLEntities": entities_decoded,
     "time": lambda x: F.concat(F.lit("1970-01-01 "), x.cast("string")).try_cast("timestamp"),  # a time of the first day
     "hours-from-time": F.hour,
     "minutes-from-time": F.minute,

@@ -216,10 +216,14 @@ def delimiter(spec: str, ignore_case: bool = False) -> str:
 
 
 def entities_decoded(text: Column) -> Column:
-    """%entities; replaced by their characters."""
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"%{name};"), F.lit(char))
-    return F.replace(F.replace(text, F.lit("%NL;"), F.lit("\n")), F.lit("%%"), F.lit("%"))
+    """%entities; replaced by their characters; doubled percent signs part the text, so that one of them starts no entity."""
+
+    def one(part: Column) -> Column:
+        for name, char in (ENTITIES | {"NL": "\n"}).items():
+            part = F.replace(part, F.lit(f"%{name};"), F.lit(char))
+        return part
+
+    return F.array_join(F.transform(F.split(text, "%%", -1), one), "%")
 
 
 def split_fields(text: Column, separator: str, escape: str | None = None, quote: str | None = None) -> Column:
@@ -238,6 +242,43 @@ def split_fields(text: Column, separator: str, escape: str | None = None, quote:
     return F.split(text, separator, -1)
 
 
+SUPPRESSION = ("never", "trailingEmpty", "trailingEmptyStrict", "anyEmpty")
+
+
+def with_suppression(fields: Column, policy: str, count: int) -> Column:
+    """Array of `count` fields (null where empty or suppressed) of those that stand between separators, or null where the policy forbids them.
+
+    never: exactly `count` stand there. trailingEmpty: empty ones at the end may lack. trailingEmptyStrict: they must. anyEmpty: empty ones count nowhere.
+    """
+    if policy not in SUPPRESSION:
+        raise ValueError(f"policy is one of {SUPPRESSION}")
+    n = F.size(fields)
+    kept = F.filter(fields, lambda x: x != "") if policy == "anyEmpty" else fields
+    filled = F.slice(F.concat(F.transform(kept, lambda x: F.when(x != "", x)), F.array_repeat(F.lit(None).cast("string"), count)), 1, count)
+    fits = {"never": n == count, "trailingEmpty": n <= count, "trailingEmptyStrict": (n <= count) & ((n == 1) | (F.element_at(fields, -1) != "")), "anyEmpty": F.size(kept) <= count}[policy]
+    return F.when(fits, filled)
+
+
+def joined_with_suppression(fields: list[Column], separator: str, policy: str) -> Column:
+    """Text of fields (null or empty ones are empty) with separators, as the policy has them written."""
+    texts = F.array(*[F.coalesce(f, F.lit("")) for f in fields])
+    if policy == "anyEmpty":
+        return F.array_join(F.filter(texts, lambda x: x != ""), separator)
+    if policy == "never":
+        return F.array_join(texts, separator)
+    last = F.array_max(F.transform(texts, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    return F.array_join(F.slice(texts, F.lit(1), last), separator)
+
+
+def entities_encoded(text: Column) -> Column:
+    """Percent signs doubled and control characters, among ENTITIES, written as %entities;."""
+    out = F.replace(text, F.lit("%"), F.lit("%%"))
+    for name, char in ENTITIES.items():
+        if name != "SP":
+            out = F.replace(out, F.lit(char), F.lit(f"%{name};"))
+    return out
+
+
 def unquoted(text: Column, quote: str) -> Column:
     """A quoted block without its quotes, doubled ones made single."""
     inner = F.replace(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(quote * 2), F.lit(quote))

@@ -22,7 +22,10 @@ Length = int | Callable[[Fields], Column]
 
 @dataclass
 class Element:
-    """A value: `decode` makes it of its bytes. length: bytes, a function of earlier fields, or one of Prefixed, Pattern, Delimited and Rest."""
+    """A value: `decode` makes it of its bytes. length: bytes, a function of earlier fields, or one of Prefixed, Pattern, Delimited and Rest.
+
+    optional: it is there if its initiator is, or without one, if what stands there decodes; else it is null and takes no bytes.
+    """
 
     name: str
     length: object
@@ -33,6 +36,35 @@ class Element:
     default: object = None
     initiator: str | None = None
     align: int = 1
+    optional: bool = False
+
+
+@dataclass
+class Group:
+    """Terms that become a struct of their own; their functions see the fields before the group, too."""
+
+    name: str
+    terms: list
+
+
+@dataclass
+class Unordered:
+    """Elements with initiators, in any order; each stands once at most, and once unless it is optional. Their lengths are bytes or Delimited."""
+
+    elements: list
+
+
+@dataclass
+class Repeated:
+    """Items of any width: `item(data, at)` gives an item's value and its bytes. kind: the value's type, as Spark writes it.
+
+    count: a number, a function of earlier fields, or None for as many as there are up to the end.
+    """
+
+    name: str
+    kind: str
+    item: Callable[[Column, Column], tuple[Column, Column]]
+    count: object = None
 
 
 @dataclass
@@ -75,7 +107,10 @@ class Skip:
 
 @dataclass
 class Array:
-    """Items of `width` bytes. count: a number, a function of earlier fields, or None for as many as are left; stop ends before an item."""
+    """Items of `width` bytes. count: a number, a function of earlier fields, or None for as many as are left; stop ends before an item.
+
+    With `valid`, as many as hold it, from `least` to `most`; the first that doesn't is left to the next term.
+    """
 
     name: str
     width: int
@@ -83,6 +118,9 @@ class Array:
     count: object = None
     stop: Callable[[Column], Column] | None = None
     encode: Callable[[Column], Column] | None = None
+    valid: Callable[[Column], Column] | None = None
+    least: int = 0
+    most: int | None = None
 
 
 @dataclass
@@ -151,97 +189,184 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
     errors: list[Column] = []
     at: int | Column = 0
 
-    def put(name: str, value: Column, hidden: bool = False) -> None:
-        fields[name] = helper(value)
-        if not hidden:
-            shown.append(name)
-
     def step(length) -> None:
         nonlocal at
         at = at + length if isinstance(at, int) and isinstance(length, int) else helper(at + length)
 
-    for term in layout:
-        if isinstance(term, Skip):
-            step(term.length)
-        elif isinstance(term, Computed):
-            put(term.name, term.value(fields))
-        elif isinstance(term, Assert):
-            errors.append(F.when(~F.coalesce(term.test(fields), F.lit(False)), F.lit(term.message)))
-        elif isinstance(term, Array):
-            n = term.count(fields) if callable(term.count) else F.lit(term.count) if term.count is not None else F.floor((F.octet_length(data) - at) / term.width)
-            n = helper(n.cast("int"))
-            whole = F.octet_length(data) >= (F.lit(at) if isinstance(at, int) else at) + n * term.width
-            index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-            start = F.lit(at) if isinstance(at, int) else at
-            items = F.transform(index, lambda i: term.decode(F.substring(data, start + i * term.width + 1, F.lit(term.width))))
-            if term.stop is not None:
-                flags = helper(F.transform(items, term.stop))
-                end = F.array_position(flags, True)
-                items = F.when(end > 0, F.slice(items, F.lit(1), (end - 1).cast("int"))).otherwise(items)
-            errors.append(F.when(~F.coalesce(whole, F.lit(False)), F.lit(f"{term.name}: too short")))
-            put(term.name, F.when(whole, items))
-            step(F.greatest(n, F.lit(0)) * term.width if callable(term.count) or term.count is None else term.count * term.width)
-        elif isinstance(term, Choice):
-            keys = list(term.branches)
-            if term.key is not None:
-                key = helper(term.key(fields).cast("string"))
-                taken = {k: key == k for k in keys}
-            else:
-                rest = F.substring(data, (F.lit(at) if isinstance(at, int) else at) + 1, F.octet_length(data))
-                tests = [F.coalesce(term.tests[k](rest), F.lit(False)) for k in keys]
-                first = helper(F.coalesce(*[F.when(t, k) for k, t in zip(keys, tests)]))
-                taken = {k: first == k for k in keys}
-            size = F.lit(0)
-            branch = F.when(F.lit(False), F.lit(""))
-            for k, terms in term.branches.items():
-                own, place = [], at
-                for t in terms:
-                    if isinstance(t, Element):
-                        own.append(t.decode(_slice(data, place, t.length)).alias(t.name))
-                    place = place + (t.length if not isinstance(t, Array) else t.width * t.count)
-                put(f"{term.name}_{k}", F.when(taken[k], F.struct(*own)))
-                branch = branch.when(taken[k], k)
-                size = F.when(taken[k], term.length if term.length is not None else _fixed(terms)).otherwise(size)
-            put(f"{term.name}_branch", branch)
-            errors.append(F.when(fields[f"{term.name}_branch"].isNull(), F.lit(f"{term.name}: no branch")))
-            step(term.length if term.length is not None else size)
-        else:
-            if term.align > 1:
-                if isinstance(at, int):
-                    at = -(-at // term.align) * term.align
+    def unordered(elements: list, put: Callable) -> None:
+        """As many rounds as there are elements: each takes the element whose initiator stands here and hasn't been before."""
+        rounds = []
+        for _ in elements:
+            which = F.lit(None).cast("string")
+            for e in elements:
+                mark = e.initiator.encode()
+                new = F.coalesce(_slice(data, at, len(mark)) == F.lit(mark), F.lit(False))
+                for before, _part in rounds:
+                    new = new & (F.coalesce(before, F.lit("")) != e.name)
+                which = F.coalesce(which, F.when(new, e.name))
+            which = helper(which)
+            part, move = F.lit(None).cast("binary"), F.lit(0)
+            for e in elements:
+                own = at + len(e.initiator.encode())
+                if isinstance(e.length, Delimited):
+                    rest = F.decode(F.substring(data, F.lit(own + 1) if isinstance(own, int) else own + 1, F.octet_length(data)), "iso-8859-1")
+                    upto = F.length(F.regexp_extract(rest, f"(?s)^(?:(?!{e.length.regex}).)*+", 0))
+                    end = F.length(F.regexp_extract(rest, f"(?s)^(?:(?!{e.length.regex}).)*+(?:{e.length.regex})?", 0))
                 else:
-                    at = helper((F.ceil(at / term.align) * term.align).cast("int"))
-            start = F.lit(at) if isinstance(at, int) else at
-            if term.initiator is not None:
-                size = len(term.initiator.encode())
-                errors.append(F.when(F.coalesce(_slice(data, at, size) != F.lit(term.initiator.encode()), F.lit(True)), F.lit(f"{term.name}: no initiator")))
-                step(size)
+                    upto = end = F.lit(e.length)
+                part = F.when(which == e.name, _slice(data, own, upto)).otherwise(part)
+                move = F.when(which == e.name, end + len(e.initiator.encode())).otherwise(move)
+            rounds.append((which, helper(part)))
+            step(move)
+        for e in elements:
+            put(e.name, e.decode(F.coalesce(*[F.when(which == e.name, part) for which, part in rounds])), e.hidden)
+            if not e.optional:
+                here = F.lit(False)
+                for which, part in rounds:
+                    here = here | F.coalesce((which == e.name) & part.isNotNull(), F.lit(False))
+                errors.append(F.when(~here, F.lit(f"{e.name}: missing")))
+
+    def repeated(term: Repeated, fields: Fields, put: Callable) -> None:
+        """Items one after the other, by a fold over their numbers that carries the place."""
+        start = (F.lit(at) if isinstance(at, int) else at).cast("int")
+        n = term.count(fields) if callable(term.count) else F.lit(term.count) if term.count is not None else F.greatest(F.octet_length(data) - start, F.lit(0))
+        n = helper(n.cast("int"))
+        numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+        def add(state: Column, _number: Column) -> Column:
+            value, size = term.item(data, state["at"])
+            more = state["at"] < F.octet_length(data)
+            next_at = F.when(more & (size > 0), state["at"] + size).otherwise(state["at"]).cast("int")
+            return F.struct(next_at.alias("at"), F.when(next_at > state["at"], F.array_append(state["items"], value.cast(term.kind))).otherwise(state["items"]).alias("items"))
+
+        zero = F.struct(start.alias("at"), F.array().cast(f"array<{term.kind}>").alias("items"))
+        state = helper(F.aggregate(numbers, zero, add))
+        short = state["at"] > F.octet_length(data)
+        if term.count is not None:
+            short = short | (F.size(state["items"]) < n)
+        else:
+            short = short | (state["at"] < F.octet_length(data))
+        errors.append(F.when(F.coalesce(short, F.lit(True)), F.lit(f"{term.name}: too short")))
+        put(term.name, state["items"])
+        step(state["at"] - (F.lit(at) if isinstance(at, int) else at))
+
+    def walk(terms: list, fields: Fields, shown: list[str]) -> None:
+        nonlocal at
+
+        def put(name: str, value: Column, hidden: bool = False) -> None:
+            fields[name] = helper(value)
+            if not hidden:
+                shown.append(name)
+
+        for term in terms:
+            if isinstance(term, Skip):
+                step(term.length)
+            elif isinstance(term, Computed):
+                put(term.name, term.value(fields))
+            elif isinstance(term, Assert):
+                errors.append(F.when(~F.coalesce(term.test(fields), F.lit(False)), F.lit(term.message)))
+            elif isinstance(term, Group):
+                inner, own = dict(fields), []
+                walk(term.terms, inner, own)
+                put(term.name, F.struct(*[inner[n].alias(n) for n in own]))
+            elif isinstance(term, Unordered):
+                unordered(term.elements, put)
+            elif isinstance(term, Repeated):
+                repeated(term, fields, put)
+            elif isinstance(term, Array):
+                n = term.count(fields) if callable(term.count) else F.lit(term.count) if term.count is not None else F.floor((F.octet_length(data) - at) / term.width)
+                n = helper(n.cast("int"))
+                whole = F.octet_length(data) >= (F.lit(at) if isinstance(at, int) else at) + n * term.width
+                index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
                 start = F.lit(at) if isinstance(at, int) else at
-            length = term.length
-            if isinstance(length, int):
-                part, move = _slice(data, at, length), length
-            elif isinstance(length, Prefixed):
-                n = helper((length.read(_slice(data, at, length.size)) - (length.size if length.includes_prefix else 0)).cast("int"))
-                part, move = _slice(data, start + length.size, n), F.coalesce(n, F.lit(0)) + length.size
-            elif isinstance(length, Rest):
-                part, move = F.substring(data, start + 1, F.octet_length(data)), F.greatest(F.octet_length(data) - start, F.lit(0))
-            elif isinstance(length, (Pattern, Delimited)):
-                rest = F.decode(F.substring(data, start + 1, F.octet_length(data)), "iso-8859-1")
-                if isinstance(length, Pattern):
-                    n = helper(F.length(F.regexp_extract(rest, f"^(?:{length.regex})", 0)))
-                    part, move = _slice(data, start, n), n
+                items = F.transform(index, lambda i: term.decode(F.substring(data, start + i * term.width + 1, F.lit(term.width))))
+                if term.valid is not None:
+                    n = helper(F.least(n, F.lit(term.most)) if term.most is not None else n)
+                    items = helper(F.slice(items, F.lit(1), F.greatest(n, F.lit(0))))
+                    bad = F.array_position(F.transform(items, lambda x: ~F.coalesce(term.valid(x), F.lit(False))), True).cast("int")
+                    n = helper(F.when(bad > 0, bad - 1).otherwise(F.size(items)))
+                    items = F.slice(items, F.lit(1), n)
+                    whole = n >= term.least
+                if term.stop is not None:
+                    flags = helper(F.transform(items, term.stop))
+                    end = F.array_position(flags, True)
+                    items = F.when(end > 0, F.slice(items, F.lit(1), (end - 1).cast("int"))).otherwise(items)
+                errors.append(F.when(~F.coalesce(whole, F.lit(False)), F.lit(f"{term.name}: too short")))
+                put(term.name, F.when(whole, items))
+                step(F.greatest(n, F.lit(0)) * term.width if callable(term.count) or term.count is None or term.valid is not None else term.count * term.width)
+            elif isinstance(term, Choice):
+                keys = list(term.branches)
+                if term.key is not None:
+                    key = helper(term.key(fields).cast("string"))
+                    chosen = {k: key == k for k in keys}
                 else:
-                    n = helper(F.length(F.regexp_extract(rest, f"(?s)^(?:(?!{length.regex}).)*+", 0)))  # possessive: takes no stack
-                    part, move = F.substring(data, start + 1, n), n + F.length(F.regexp_extract(F.substring(rest, n + 1, F.length(rest)), f"^(?:{length.regex})", 0))
+                    rest = F.substring(data, (F.lit(at) if isinstance(at, int) else at) + 1, F.octet_length(data))
+                    tests = [F.coalesce(term.tests[k](rest), F.lit(False)) for k in keys]
+                    first = helper(F.coalesce(*[F.when(t, k) for k, t in zip(keys, tests)]))
+                    chosen = {k: first == k for k in keys}
+                size = F.lit(0)
+                branch = F.when(F.lit(False), F.lit(""))
+                for k, branch_terms in term.branches.items():
+                    own, place = [], at
+                    for t in branch_terms:
+                        if isinstance(t, Element):
+                            own.append(t.decode(_slice(data, place, t.length)).alias(t.name))
+                        place = place + (t.length if not isinstance(t, Array) else t.width * t.count)
+                    put(f"{term.name}_{k}", F.when(chosen[k], F.struct(*own)))
+                    branch = branch.when(chosen[k], k)
+                    size = F.when(chosen[k], term.length if term.length is not None else _fixed(branch_terms)).otherwise(size)
+                put(f"{term.name}_branch", branch)
+                errors.append(F.when(fields[f"{term.name}_branch"].isNull(), F.lit(f"{term.name}: no branch")))
+                step(term.length if term.length is not None else size)
             else:
-                n = helper(length(fields).cast("int"))
-                part, move = _slice(data, start, n), F.coalesce(n, F.lit(0))
-            value = term.decode(part)
-            put(term.name, F.coalesce(value, F.lit(term.default)) if term.default is not None else value, term.hidden)
-            errors.append(F.when(part.isNull(), F.lit(f"{term.name}: too short")))
-            if validate and term.facets is not None:
-                errors += term.facets.failures(fields[term.name], term.name)
-            step(move)
+                if term.align > 1:
+                    if isinstance(at, int):
+                        at = -(-at // term.align) * term.align
+                    else:
+                        at = helper((F.ceil(at / term.align) * term.align).cast("int"))
+                start, there = F.lit(at) if isinstance(at, int) else at, None
+                if term.initiator is not None:
+                    size = len(term.initiator.encode())
+                    marked = F.coalesce(_slice(data, at, size) == F.lit(term.initiator.encode()), F.lit(False))
+                    if term.optional:
+                        there = helper(marked)
+                        step(F.when(there, size).otherwise(0))
+                    else:
+                        errors.append(F.when(~marked, F.lit(f"{term.name}: no initiator")))
+                        step(size)
+                    start = F.lit(at) if isinstance(at, int) else at
+                length = term.length
+                if isinstance(length, int):
+                    part, move = _slice(data, at, length), length
+                elif isinstance(length, Prefixed):
+                    n = helper((length.read(_slice(data, at, length.size)) - (length.size if length.includes_prefix else 0)).cast("int"))
+                    part, move = _slice(data, start + length.size, n), F.coalesce(n, F.lit(0)) + length.size
+                elif isinstance(length, Rest):
+                    part, move = F.substring(data, start + 1, F.octet_length(data)), F.greatest(F.octet_length(data) - start, F.lit(0))
+                elif isinstance(length, (Pattern, Delimited)):
+                    rest = F.decode(F.substring(data, start + 1, F.octet_length(data)), "iso-8859-1")
+                    if isinstance(length, Pattern):
+                        n = helper(F.length(F.regexp_extract(rest, f"^(?:{length.regex})", 0)))
+                        part, move = _slice(data, start, n), n
+                    else:
+                        n = helper(F.length(F.regexp_extract(rest, f"(?s)^(?:(?!{length.regex}).)*+", 0)))  # possessive: takes no stack
+                        part, move = F.substring(data, start + 1, n), n + F.length(F.regexp_extract(F.substring(rest, n + 1, F.length(rest)), f"^(?:{length.regex})", 0))
+                else:
+                    n = helper(length(fields).cast("int"))
+                    part, move = _slice(data, start, n), F.coalesce(n, F.lit(0))
+                value = term.decode(part)
+                if term.optional:
+                    if there is None:
+                        value = helper(value)
+                        there = helper(value.isNotNull())
+                    value, move = F.when(there, value), F.when(there, move).otherwise(0)
+                put(term.name, F.coalesce(value, F.lit(term.default)) if term.default is not None else value, term.hidden)
+                errors.append(F.when(part.isNull() & (there if there is not None else F.lit(True)), F.lit(f"{term.name}: too short")))
+                if validate and term.facets is not None:
+                    errors.extend(term.facets.failures(fields[term.name], term.name))
+                step(move)
+
+    walk(layout, fields, shown)
     found = F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast("array<string>")
     names = [c for c in given if c.lower() not in (out.lower(), f"{out}_errors".lower())]
     df = df.select(*names, F.struct(*[fields[n].alias(n) for n in shown]).alias(out), found.alias(f"{out}_errors"))

@@ -13,6 +13,7 @@ from bitloom.functions import binary as B
 from bitloom.functions import text as X
 from bitloom.functions.expressions import call
 from bitloom.functions.facets import Facets
+from bitloom.operators import infoset as I
 from bitloom.operators import layers as Y
 from bitloom.operators import layout as L
 from bitloom.plans import payloads as P
@@ -272,12 +273,23 @@ def sep_alternatives(spark, sf_dir):
     return _fields(d, X.split_fields(F.col("t"), "(?i:" + X.delimiter("; ;; %WSP+;END%WSP+;") + ")"))
 
 
-@query("SELECT o_orderkey, string_split(o_orderpriority, '-')[1] AS level, CAST(len(trim(o_orderpriority)) AS INTEGER) AS n, 3 AS kept FROM orders")
+@query("""SELECT o_orderkey, p.policy, p.policy = 'never' OR o_orderkey % 3 <> 2 OR p.policy <> 'trailingEmptyStrict' AS fits, o_orderstatus AS first,
+CASE WHEN p.policy = 'anyEmpty' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'x' END WHEN o_orderkey % 3 = 2 AND p.policy = 'trailingEmptyStrict' THEN NULL END AS second,
+CASE WHEN p.policy <> 'anyEmpty' AND o_orderkey % 3 = 0 THEN 'x' END AS third
+FROM orders, (SELECT unnest(['never', 'trailingEmpty', 'trailingEmptyStrict', 'anyEmpty']) AS policy) p""")
 def sep_suppression(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", "o_orderpriority", F.lit(""), F.lit("x"), F.lit(""), F.lit("")).alias("t"))
-    f = F.split("t", ",", -1)
-    trailing = F.split(F.rtrim("t", F.lit(",")), ",", -1)
-    return t.select("o_orderkey", F.substring_index(f[0], "-", 1).alias("level"), F.length(F.trim(trailing[0])).alias("n"), F.size(trailing).alias("kept"))
+    """Three fields, the second empty and the third in one of three orders, written and read by each policy; one order has an end that the strict policy forbids."""
+    t = table(spark, sf_dir, "orders").withColumn("third", F.when(F.col("o_orderkey") % 3 == 0, "x"))
+    fields = [F.col("o_orderstatus"), F.lit(""), F.col("third")]
+    out = None
+    for policy in X.SUPPRESSION:
+        line = X.joined_with_suppression(fields, ",", policy)
+        if policy == "trailingEmptyStrict":
+            line = F.when(F.col("o_orderkey") % 3 == 2, F.concat(line, F.lit(","))).otherwise(line)
+        got = X.with_suppression(F.split(line, ",", -1), policy, 3)
+        one = t.select("o_orderkey", "o_orderstatus", F.lit(policy).alias("policy"), got.alias("f"))
+        out = one if out is None else out.union(one)
+    return out.select("o_orderkey", "policy", F.col("f").isNotNull().alias("fits"), F.coalesce(F.col("f")[0], F.col("o_orderstatus")).alias("first"), F.col("f")[1].alias("second"), F.col("f")[2].alias("third"))
 
 
 @query("SELECT c_custkey, c_name || ',' || c_mktsegment AS name, '\"' || c_mktsegment || '\"' AS segment, c_nationkey AS nation FROM customer")
@@ -349,6 +361,82 @@ def check_constraints(spark, sf_dir):
     return t.select("p_partkey", ok.alias("ok"))
 
 
+# -- nested and repeating records ------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, length(o_orderpriority) AS size, o_orderpriority AS priority FROM orders")
+def nested_complex(spark, sf_dir):
+    """A header struct with a struct of its own inside, then a body whose length stands in the header."""
+    layout = [
+        L.Group("header", [L.Element("id", 5, number(5)), L.Group("party", [L.Element("customer", 4, number(4)), L.Element("status", 1, text)]), L.Element("size", 1, number(1))]),
+        L.Element("priority", lambda f: f["header"]["size"], text),
+    ]
+    body = F.concat(B.put_uint(F.col("o_orderkey"), 5), B.put_uint(F.col("o_custkey"), 4), utf8("o_orderstatus"), B.put_uint(F.octet_length("o_orderpriority"), 1), utf8("o_orderpriority"))
+    r = L.parse(table(spark, sf_dir, "orders").select("o_orderkey", body.alias("payload")), "payload", layout)
+    h = "record.header"
+    return r.select("o_orderkey", f"{h}.id", f"{h}.party.customer", f"{h}.party.status", F.col(f"{h}.size").alias("size"), "record.priority")
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, l_returnflag AS flag, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, count(*) AS n FROM lineitem GROUP BY ALL")
+def repeated_structs(spark, sf_dir):
+    """Lines of an order as a counted array of structs of varying width: number, flag and a text with its length before it."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("q")).alias("line"))
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    one = lambda x: F.hex(F.concat(B.put_uint(x["l_linenumber"], 1), utf8(x["l_returnflag"]), B.put_uint(F.octet_length(x["q"]), 1), utf8(x["q"])))
+    packed = orders.select(F.concat(B.put_uint(F.col("l_orderkey"), 5), B.put_uint(F.size("lines"), 1), F.unhex(F.array_join(F.transform("lines", one), ""))).alias("payload"))
+
+    def item(data, at):
+        size = B.uint(data, at + 2, 1)
+        return F.struct(B.uint(data, at, 1).cast("int").alias("linenumber"), text(B.cut(data, at + 1, 1)).alias("flag"), text(B.cut(data, at + 3, size)).alias("quantity")), size + 3
+
+    layout = [L.Element("orderkey", 5, number(5)), L.Element("count", 1, number(1)), L.Repeated("lines", "struct<linenumber:int,flag:string,quantity:string>", item, lambda f: f["count"])]
+    r = L.parse(packed, "payload", layout).where(F.size("record_errors") == 0)
+    return r.select("record.orderkey", F.inline("record.lines")).groupBy("orderkey", "linenumber", "flag", "quantity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS nation, c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS occurs FROM customer")
+def csv_rows(spark, sf_dir):
+    """A text file a nation: a header of names and a row a customer, read as one payload into an array of rows with their occurrence index."""
+    row = F.concat_ws(",", F.lpad(F.col("c_custkey").cast("string"), 12, "0"), X.quoted(F.col("c_name"), ","), "c_mktsegment")
+    files = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_join(F.sort_array(F.collect_list(row)), "\n").alias("rows"))
+    files = files.select("nation", utf8(F.concat(F.lit("key,name,segment\n"), "rows")).alias("payload"))
+    layout = [L.Element("names", L.Delimited(X.delimiter("%NL;"), "\n"), lambda p: X.split_fields(text(p), ",")), L.Element("rows", L.Rest(), lambda p: F.transform(F.split(text(p), "\n", -1), lambda x: X.split_fields(x, ",", quote='"')))]
+    r = L.parse(files, "payload", layout, mode="FAILFAST").select("nation", "record.names", F.posexplode("record.rows").alias("at", "row"))
+    r = r.select("nation", F.map_from_arrays("names", "row").alias("m"), (F.col("at") + 1).alias("occurs"))
+    return r.select("nation", F.col("m")["key"].cast("bigint").alias("key"), F.col("m")["name"].alias("name"), F.col("m")["segment"].alias("segment"), "occurs")
+
+
+@query("SELECT o_orderkey, CAST(least(o_orderkey % 5, 3) AS INTEGER) AS digits, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 4 THEN '7' END AS digit, o_orderpriority AS rest FROM orders")
+def occurs_implicit(spark, sf_dir):
+    """At most three digits, an optional element by its initiator, an optional one by what decodes, and the rest."""
+    digits = F.repeat(F.lit("7"), (F.col("o_orderkey") % 5).cast("int"))
+    over = F.when(F.length(digits) > 3, F.substring(digits, 4, 1)).otherwise("")
+    status = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("S="), "o_orderstatus")).otherwise("")
+    t = table(spark, sf_dir, "orders").select("o_orderkey", utf8(F.concat(F.substring(digits, 1, 3), F.lit("|"), status, over, F.lit("!"), "o_orderpriority")).alias("payload"))
+    digit = lambda p: F.when(text(p).rlike("^[0-9]$"), text(p))
+    layout = [
+        L.Array("digits", 1, text, valid=lambda x: x.rlike("^[0-9]$"), most=3),
+        L.Skip(1),
+        L.Element("status", 1, text, initiator="S=", optional=True),
+        L.Element("digit", 1, digit, optional=True),
+        L.Element("rest", L.Rest(), text, initiator="!"),
+    ]
+    r = L.parse(t, "payload", layout, mode="FAILFAST")
+    return r.select("o_orderkey", F.size("record.digits").alias("digits"), "record.status", "record.digit", "record.rest")
+
+
+@query("SELECT s_suppkey, s_suppkey AS key, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END AS nation, CASE WHEN s_suppkey % 7 = 0 THEN 'name: missing' ELSE '' END AS errors FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN s_name END AS s_name, s_nationkey FROM supplier)")
+def unordered_sequence(spark, sf_dir):
+    """Three elements in an order that turns from row to row; one of them optional, and the name lacks at times."""
+    key, name = F.concat(F.lit("K"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")), F.when(F.col("s_suppkey") % 7 > 0, F.concat(F.lit("N:"), "s_name", F.lit(";"))).otherwise("")
+    nation = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("C:"), F.col("s_nationkey").cast("string"), F.lit(";"))).otherwise("")
+    line = F.when(F.col("s_suppkey") % 2 == 0, F.concat(key, name, nation)).otherwise(F.concat(nation, name, key))
+    end = L.Delimited(";", ";")
+    layout = [L.Unordered([L.Element("key", 8, lambda p: text(p).cast("bigint"), initiator="K"), L.Element("name", end, text, initiator="N:"), L.Element("nation", end, lambda p: text(p).cast("bigint"), initiator="C:", optional=True)])]
+    r = L.parse(table(spark, sf_dir, "supplier").select("s_suppkey", utf8(line).alias("payload")), "payload", layout)
+    return r.select("s_suppkey", "record.*", F.array_join("record_errors", ";").alias("errors"))
+
+
 # -- text values ---------------------------------------------------------------------------------------------
 
 
@@ -460,6 +548,33 @@ def computed_fields(spark, sf_dir):
     return L.parse(t, "payload", layout).select("l_orderkey", "record.*")
 
 
+@query("""SELECT p_partkey, p_partkey % 4096 AS ahead, CAST(length(p_name) AS INTEGER) AS chars, CAST(strlen(p_name) * 8 AS INTEGER) AS bits, ends_with(p_name, 'e') AS ends, lower(p_brand) AS low,
+replace(p_brand, 'Brand', 'B') AS swapped, p_size % 24 AS hour, 7 AS minute, p_size AS second, round_even(p_size / 4, 0)::BIGINT AS even, CAST(p_partkey AS VARCHAR) AS label, p_size <= 20 AS small, p_brand || '%%' || '%HT;' AS coded, p_brand || '%\t' AS plain
+FROM part""")
+def expr_lengths_times(spark, sf_dir):
+    """Functions that look ahead, measure, and take times apart."""
+    size, key, name = F.col("p_size"), F.col("p_partkey"), F.col("p_name")
+    clock = call("time", F.format_string("%02d:07:%02d", (size % 24).cast("int"), size.cast("int")))
+    coded = call("encodeDFDLEntities", F.concat("p_brand", F.lit("%\t")))
+    out = {
+        "ahead": call("lookAhead", B.put_uint(key % 4096, 4), F.lit(1), 12, 12),
+        "chars": call("valueLength", name, "characters"),
+        "bits": call("contentLength", name, "bits"),
+        "ends": call("ends-with", name, "e"),
+        "low": call("lower-case", F.col("p_brand")),
+        "swapped": call("replace", F.col("p_brand"), "Brand", "B"),
+        "hour": call("hours-from-time", clock).cast("bigint"),
+        "minute": call("minutes-from-time", clock),
+        "second": call("seconds-from-time", clock).cast("bigint"),
+        "even": call("roundHalfToEven", (size / 4).cast("decimal(10,2)")).cast("bigint"),
+        "label": call("string", call("long", key)),
+        "small": call("not", size > 20),
+        "coded": coded,
+        "plain": call("decodeDFDLEntities", coded),
+    }
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in out.items()])
+
+
 # -- layers ----------------------------------------------------------------------------------------------------
 
 
@@ -550,11 +665,11 @@ def parsed_rollup(spark, sf_dir):
     return _lines(spark, sf_dir).rollup("flag", "linenumber").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_partkey AS partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linenumber = 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_partkey AS partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 3 AND l_returnflag = 'N'")
 def parsed_setops(spark, sf_dir):
     d = _lines(spark, sf_dir)
     keys = lambda c: d.where(c).select("partkey")
-    return keys("flag = 'A'").intersect(keys("linenumber = 3")).subtract(keys("flag = 'R'"))
+    return keys("flag = 'A'").intersect(keys("flag = 'R'")).subtract(keys("linenumber = 3 AND flag = 'N'"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)")
@@ -576,6 +691,44 @@ def parsed_asof(spark, sf_dir):
     return e.where("event_type = 'click'").select("event_id", "last_purchase")
 
 
+@query("SELECT l_returnflag AS flag, abs(count(DISTINCT l_partkey) - count(DISTINCT l_partkey)) = 0 AS near_distinct, true AS near_median FROM lineitem GROUP BY 1")
+def parsed_approximate(spark, sf_dir):
+    """Sketches of parsed fields, held against exact values: distinct keys within 5 %, the median's rank within 1 %."""
+    d = _lines(spark, sf_dir)
+    low = F.percentile("cents", F.array(F.lit(0.49), F.lit(0.51)))
+    s = d.groupBy("flag").agg(F.approx_count_distinct("partkey", 0.01).alias("a"), F.count_distinct("partkey").alias("n"), F.percentile_approx("cents", 0.5, 10000).alias("m"), low.alias("r"))
+    return s.select("flag", (F.abs(F.col("a") - F.col("n")) <= 0.05 * F.col("n")).alias("near_distinct"), F.col("m").between(F.col("r")[0], F.col("r")[1]).alias("near_median"))
+
+
+@query("SELECT kind, status, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'binary' ELSE 'text' END AS kind, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY 1, 2")
+def parsed_union(spark, sf_dir):
+    """Records of two formats brought to one schema: half of the orders in binary, half as delimited text."""
+    t = table(spark, sf_dir, "orders").withColumn("cents", cents(F.col("o_totalprice")))
+    b = t.where("o_orderkey % 2 = 0").select(F.concat(utf8("o_orderstatus"), B.put_sint(F.col("cents"), 6)).alias("payload"))
+    c = t.where("o_orderkey % 2 <> 0").select(utf8(F.concat_ws(";", "o_orderstatus", F.col("cents").cast("string"))).alias("payload"))
+    b = L.parse(b, "payload", [L.Element("status", 1, text), L.Element("cents", 6, number(6, signed=True))])
+    c = L.parse(c, "payload", [L.Element("status", L.Delimited(";", ";"), text), L.Element("cents", L.Rest(), lambda p: text(p).cast("bigint"))])
+    both = b.select(F.lit("binary").alias("kind"), "record.*").unionByName(c.select(F.lit("text").alias("kind"), "record.*"))
+    return both.groupBy("kind", "status").agg(F.count("*").alias("n"), F.sum("cents").cast("bigint").alias("cents"))
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE CAST(round(l_extendedprice * 100) AS BIGINT) > (SELECT avg(CAST(round(l_extendedprice * 100) AS BIGINT)) FROM lineitem WHERE l_linenumber = 1) GROUP BY 1")
+def parsed_scalar_subquery(spark, sf_dir):
+    """Lines dearer than the mean of first lines, by a scalar subquery over the parsed records."""
+    d = _lines(spark, sf_dir)
+    return d.where(F.col("cents") > d.where("linenumber = 1").agg(F.avg("cents")).scalar()).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '"}' AS json, '<record><key>' || n_nationkey || '</key><name>' || n_name || '&amp;&lt;</name></record>' AS xml, n_name || '&<' AS again FROM nation""")
+def infoset_text(spark, sf_dir):
+    """Parsed records as JSON and as XML, and read back from XML."""
+    t = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(B.put_uint(F.col("n_nationkey"), 1), utf8("n_name")).alias("payload"))
+    r = L.parse(t, "payload", [L.Element("key", 1, number(1)), L.Element("name", L.Rest(), text)])
+    xml = I.to_xml(F.col("record").withField("name", F.concat("record.name", F.lit("&<"))), r.schema["record"].dataType, "record")
+    r = r.select("n_nationkey", F.to_json("record").alias("json"), xml.alias("xml"))
+    return r.select("*", F.from_xml("xml", "key bigint, name string", {"rowTag": "record"})["name"].alias("again"))
+
+
 # -- streams -----------------------------------------------------------------------------------------------------
 
 
@@ -607,3 +760,28 @@ def stream_windowed(spark, sf_dir):
     out = framing.run_to_end(counts.select(F.col("w.start").alias("start"), F.col("event_type").alias("kind"), "n"), "stream-windowed")
     last = table(spark, sf_dir, "events").agg(F.date_trunc("hour", F.max(F.col("ts").cast("timestamp"))).alias("last"))
     return out.join(F.broadcast(last), F.col("start") < F.col("last")).select(F.unix_micros("start").alias("hour"), "kind", "n")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) - g.i * 1800000000 AS start, event_type AS kind, count(*) AS n FROM (SELECT ts, event_type, epoch_us(ts) % 3600000000 AS within FROM events) e, (SELECT unnest([-1, 0, 1]) AS i) g WHERE within + g.i * 1800000000 >= 0 AND within + g.i * 1800000000 < 3600000000 GROUP BY 1, 2")
+def stream_sliding(spark, sf_dir):
+    """Windows of an hour each half hour, counted in a stream; those still open at its end are out too, in complete mode."""
+    s = framing.read_files(spark, sf_dir, "events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    counts = s.groupBy(F.window("t", "1 hour", "30 minutes").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return framing.run_to_end(counts.select(F.unix_micros("w.start").alias("start"), "kind", "n"), "stream-sliding", "complete")
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of a user that half an hour without events ends, in a stream."""
+    s = framing.read_files(spark, sf_dir, "events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    sessions = s.groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return framing.run_to_end(sessions.select("user_id", F.unix_micros("w.start").alias("start"), "n"), "stream-sessions", "complete")
+
+
+@query("SELECT user_id, event_type AS kind FROM events GROUP BY 1, 2")
+def stream_distinct(spark, sf_dir):
+    """The first event of each user and kind, by state that a watermark bounds."""
+    s = framing.read_files(spark, sf_dir, "events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    d = s.withWatermark("t", "36500 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return framing.run_to_end(d.select("user_id", F.col("event_type").alias("kind")), "stream-distinct")

@@ -55,10 +55,17 @@ def read_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """What an append stream gives for all input that is there now, written to and read from the shared folder."""
+def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all input that is there now, written to and read from the shared folder.
+
+    complete: every micro-batch writes the whole result in place of the one before.
+    """
     spark = stream.sparkSession
     out = shared_path(spark, name)
+    if mode == "complete":
+        write = lambda batch, _number: batch.write.mode("overwrite").parquet(out)
+        stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
