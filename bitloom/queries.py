@@ -691,7 +691,7 @@ def parsed_asof(spark, sf_dir):
     return e.where("event_type = 'click'").select("event_id", "last_purchase")
 
 
-@query("SELECT l_returnflag AS flag, abs(count(DISTINCT l_partkey) - count(DISTINCT l_partkey)) = 0 AS near_distinct, true AS near_median FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS flag, true AS near_distinct, true AS near_median FROM lineitem GROUP BY 1")
 def parsed_approximate(spark, sf_dir):
     """Sketches of parsed fields, held against exact values: distinct keys within 5 %, the median's rank within 1 %."""
     d = _lines(spark, sf_dir)
