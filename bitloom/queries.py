@@ -432,7 +432,7 @@ def unordered_sequence(spark, sf_dir):
     nation = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("C:"), F.col("s_nationkey").cast("string"), F.lit(";"))).otherwise("")
     line = F.when(F.col("s_suppkey") % 2 == 0, F.concat(key, name, nation)).otherwise(F.concat(nation, name, key))
     end = L.Delimited(";", ";")
-    layout = [L.Unordered([L.Element("key", 8, lambda p: text(p).cast("bigint"), initiator="K"), L.Element("name", end, text, initiator="N:"), L.Element("nation", end, lambda p: text(p).cast("bigint"), initiator="C:", optional=True)])]
+    layout = [L.Unordered([L.Element("key", 8, lambda p: text(p).cast("bigint"), initiator="K"), L.Element("name", end, text, initiator="N:"), L.Element("nation", end, lambda p: text(p).cast("int"), initiator="C:", optional=True)])]
     r = L.parse(table(spark, sf_dir, "supplier").select("s_suppkey", utf8(line).alias("payload")), "payload", layout)
     return r.select("s_suppkey", "record.*", F.array_join("record_errors", ";").alias("errors"))
 
@@ -563,9 +563,9 @@ def expr_lengths_times(spark, sf_dir):
         "ends": call("ends-with", name, "e"),
         "low": call("lower-case", F.col("p_brand")),
         "swapped": call("replace", F.col("p_brand"), "Brand", "B"),
-        "hour": call("hours-from-time", clock).cast("bigint"),
+        "hour": call("hours-from-time", clock),
         "minute": call("minutes-from-time", clock),
-        "second": call("seconds-from-time", clock).cast("bigint"),
+        "second": call("seconds-from-time", clock),
         "even": call("roundHalfToEven", (size / 4).cast("decimal(10,2)")).cast("bigint"),
         "label": call("string", call("long", key)),
         "small": call("not", size > 20),
