@@ -153,6 +153,9 @@ class Assert:
     message: str
 
 
+#: Items of a `Repeated` whose places a fold gathers at a time.
+BLOCK = 64
+
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
@@ -174,13 +177,13 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
     made, given = 0, df.columns
     taken = {c.lower() for c in given}
 
-    def helper(value: Column) -> Column:
-        """A column of its own for value."""
+    def helper(value: Column, barrier: bool = False) -> Column:
+        """A column of its own for value. barrier: no filter is pushed through it, as that would put the value, and the payload's making, into the filter once for each mention."""
         nonlocal df, made
         made += 1
         while (name := f"_{out}_{made}").lower() in taken:
             made += 1
-        df = df.withColumn(name, value)
+        df = df.withColumn(name, F.explode(F.array(value)) if barrier else value)
         return F.col(name)
 
     data = F.col(payload)
@@ -227,28 +230,36 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
                 errors.append(F.when(~here, F.lit(f"{e.name}: missing")))
 
     def repeated(term: Repeated, fields: Fields, put: Callable) -> None:
-        """Items one after the other, by a fold over their numbers that carries the place."""
+        """Items one after the other: a fold finds their places, in blocks so that an item costs a copy of few places before it, then all are decoded."""
         start = (F.lit(at) if isinstance(at, int) else at).cast("int")
-        n = term.count(fields) if callable(term.count) else F.lit(term.count) if term.count is not None else F.greatest(F.octet_length(data) - start, F.lit(0))
+        size = F.octet_length(data)
+        n = term.count(fields) if callable(term.count) else F.lit(term.count) if term.count is not None else F.greatest(size - start, F.lit(0))
         n = helper(n.cast("int"))
-        numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-        def add(state: Column, _number: Column) -> Column:
-            value, size = term.item(data, state["at"])
-            more = state["at"] < F.octet_length(data)
-            next_at = F.when(more & (size > 0), state["at"] + size).otherwise(state["at"]).cast("int")
-            return F.struct(next_at.alias("at"), F.when(next_at > state["at"], F.array_append(state["items"], value.cast(term.kind))).otherwise(state["items"]).alias("items"))
-
-        zero = F.struct(start.alias("at"), F.array().cast(f"array<{term.kind}>").alias("items"))
-        state = helper(F.aggregate(numbers, zero, add))
-        short = state["at"] > F.octet_length(data)
+        numbers = lambda upto: F.when(upto > 0, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>"))
+
+        def add(places: Column, _number: Column) -> Column:
+            """One place more: the end of the item at the last; none where that is at the payload's end or can't be read."""
+            here = F.element_at(places, -1)
+            width = F.when(here < size, term.item(data, here)[1]).cast("bigint")
+            end = lambda p, w: F.least(F.element_at(p, -1) + w, size + 1).cast("int")
+            return F.aggregate(F.array(width), places, lambda p, w: F.when(w > 0, F.array_append(p, end(p, w))).otherwise(p))
+
+        def block(state: Column, number: Column) -> Column:
+            left = F.when(state["at"] < size, F.least(F.lit(BLOCK), n - (number - 1) * BLOCK)).otherwise(0)
+            places = F.aggregate(numbers(left), F.array(state["at"]), add)
+            return F.aggregate(F.array(places), state, lambda s, p: F.struct(F.element_at(p, -1).alias("at"), F.array_append(s["starts"], F.slice(p, F.lit(1), F.size(p) - 1)).alias("starts")))
+
+        zero = F.struct(start.alias("at"), F.array().cast("array<array<int>>").alias("starts"))
+        found = helper(F.aggregate(numbers(F.ceil(n / BLOCK).cast("int")), zero, block), barrier=True)
+        items = helper(F.transform(F.flatten(found["starts"]), lambda p: term.item(data, p)[0].cast(term.kind)), barrier=True)
+        short = found["at"] > size
         if term.count is not None:
-            short = short | (F.size(state["items"]) < n)
+            short = short | (F.size(items) < n)
         else:
-            short = short | (state["at"] < F.octet_length(data))
+            short = short | (found["at"] < size)
         errors.append(F.when(F.coalesce(short, F.lit(True)), F.lit(f"{term.name}: too short")))
-        put(term.name, state["items"])
-        step(state["at"] - (F.lit(at) if isinstance(at, int) else at))
+        put(term.name, items)
+        step(found["at"] - (F.lit(at) if isinstance(at, int) else at))
 
     def walk(terms: list, fields: Fields, shown: list[str]) -> None:
         nonlocal at
@@ -282,7 +293,7 @@ def parse(df: DataFrame, payload: str, layout: list, out: str = "record", mode:
                 items = F.transform(index, lambda i: term.decode(F.substring(data, start + i * term.width + 1, F.lit(term.width))))
                 if term.valid is not None:
                     n = helper(F.least(n, F.lit(term.most)) if term.most is not None else n)
-                    items = helper(F.slice(items, F.lit(1), F.greatest(n, F.lit(0))))
+                    items = helper(F.slice(items, F.lit(1), F.greatest(n, F.lit(0))), barrier=True)
                     bad = F.array_position(F.transform(items, lambda x: ~F.coalesce(term.valid(x), F.lit(False))), True).cast("int")
                     n = helper(F.when(bad > 0, bad - 1).otherwise(F.size(items)))
                     items = F.slice(items, F.lit(1), n)

@@ -380,16 +380,16 @@ def nested_complex(spark, sf_dir):
 @query("SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, l_returnflag AS flag, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, count(*) AS n FROM lineitem GROUP BY ALL")
 def repeated_structs(spark, sf_dir):
     """Lines of an order as a counted array of structs of varying width: number, flag and a text with its length before it."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("q")).alias("line"))
-    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    one = lambda x: F.hex(F.concat(B.put_uint(x["l_linenumber"], 1), utf8(x["l_returnflag"]), B.put_uint(F.octet_length(x["q"]), 1), utf8(x["q"])))
-    packed = orders.select(F.concat(B.put_uint(F.col("l_orderkey"), 5), B.put_uint(F.size("lines"), 1), F.unhex(F.array_join(F.transform("lines", one), ""))).alias("payload"))
+    quantity = utf8(F.col("l_quantity").cast("bigint").cast("string"))
+    line = F.hex(F.concat(B.put_uint(F.col("l_linenumber"), 4), utf8("l_returnflag"), B.put_uint(F.octet_length(quantity), 1), quantity))
+    orders = table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("line")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    packed = orders.select(F.concat(B.put_uint(F.col("l_orderkey"), 5), B.put_uint(F.size("lines"), 4), F.unhex(F.array_join("lines", ""))).alias("payload"))
 
     def item(data, at):
-        size = B.uint(data, at + 2, 1)
-        return F.struct(B.uint(data, at, 1).cast("int").alias("linenumber"), text(B.cut(data, at + 1, 1)).alias("flag"), text(B.cut(data, at + 3, size)).alias("quantity")), size + 3
+        size = B.uint(data, at + 5, 1)
+        return F.struct(B.uint(data, at, 4).cast("int").alias("linenumber"), text(B.cut(data, at + 4, 1)).alias("flag"), text(B.cut(data, at + 6, size)).alias("quantity")), size + 6
 
-    layout = [L.Element("orderkey", 5, number(5)), L.Element("count", 1, number(1)), L.Repeated("lines", "struct<linenumber:int,flag:string,quantity:string>", item, lambda f: f["count"])]
+    layout = [L.Element("orderkey", 5, number(5)), L.Element("count", 4, number(4)), L.Repeated("lines", "struct<linenumber:int,flag:string,quantity:string>", item, lambda f: f["count"])]
     r = L.parse(packed, "payload", layout).where(F.size("record_errors") == 0)
     return r.select("record.orderkey", F.inline("record.lines")).groupBy("orderkey", "linenumber", "flag", "quantity").agg(F.count("*").alias("n"))
 

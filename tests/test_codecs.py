@@ -211,6 +211,28 @@ def test_layout_errors_and_modes(spark):
         L.parse(df, "payload", LAYOUT, mode="OTHER")
 
 
+def test_repeated_items(spark):
+    """Many blocks of items, none, too few, one that says to be longer than any payload; and no filter on errors makes the payload again."""
+
+    def item(data, at):
+        size = B.uint(data, at, 4)
+        return F.decode(B.cut(data, at + 4, size), "utf-8"), size + 4
+
+    packed = lambda *texts: b"".join(len(t).to_bytes(4, "big") + t.encode() for t in texts)
+    many = [str(i) for i in range(2 * L.BLOCK + 5)]
+    raw = [(1, len(many), packed(*many)), (2, 0, b""), (3, 3, packed("a", "b")), (4, 1, b"\xff\xff\xff\xffab"), (5, 1, packed("a") + b"z"), (6, 64, packed(*many[:64])), (7, 1, None)]
+    df = spark.createDataFrame([(i, None if p is None else (n.to_bytes(2, "big") + p).hex()) for i, n, p in raw], "id int, h string").select("id", F.unhex("h").alias("payload"))
+    counted = L.parse(df, "payload", [L.Element("n", 2, lambda p: B.uint(p, 0, 2)), L.Repeated("t", "string", item, lambda f: f["n"]), L.Element("rest", L.Rest(), lambda p: p)])
+    rows = {r.id: r for r in counted.collect()}
+    assert rows[1].record.t == many and rows[2].record.t == [] and rows[6].record.t == many[:64]
+    assert rows[5].record.t == ["a"] and bytes(rows[5].record.rest) == b"z" and rows[5].record_errors == []
+    assert rows[3].record_errors == ["t: too short"] and "t: too short" in rows[4].record_errors and rows[7].record_errors
+    to_end = L.parse(df, "payload", [L.Skip(2), L.Repeated("t", "string", item)], mode="DROPMALFORMED")
+    assert {r.id: r.record.t for r in to_end.collect()} == {1: many, 2: [], 3: ["a", "b"], 6: many[:64]}
+    whole = counted.where(F.size("record_errors") == 0).select("record.t")
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("unhex(") == 1
+
+
 def test_anomalies_and_generator(spark):
     made = P.generate(spark, 50, {"kind": P.choose(F.col("id"), 1, [*P.ANOMALIES, "none"]), "n": P.number(F.col("id"), 2, 5, 9)})
     assert made.collect() == P.generate(spark, 50, {"kind": P.choose(F.col("id"), 1, [*P.ANOMALIES, "none"]), "n": P.number(F.col("id"), 2, 5, 9)}).collect()

@@ -33,6 +33,15 @@ def test_query_matches_its_sql(spark, tables, name):
     assert plain(got) == plain(want)
 
 
+def test_repeated_structs_of_long_orders(spark, tables, tmp_path):
+    """Orders of more lines, and line numbers higher, than a byte counts."""
+    made = f"SELECT * REPLACE (l_orderkey // 1000 AS l_orderkey, CAST(l_linenumber * 100 AS INTEGER) AS l_linenumber) FROM '{DATA}/lineitem.parquet'"
+    tables.execute(f"COPY ({made}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = queries.QUERIES["repeated_structs"](spark, str(tmp_path)).collect()
+    want = duckdb.execute(queries.ORACLES["repeated_structs"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'")).fetchall()
+    assert plain(got) == plain(want)
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
