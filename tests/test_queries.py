@@ -42,6 +42,14 @@ def test_repeated_structs_of_long_orders(spark, tables, tmp_path):
     assert plain(got) == plain(want)
 
 
+def test_parsed_approximate_keeps_sketches_out_of_its_shuffles(spark):
+    """What is dealt by key holds counts alone, and no task gets all values of a flag for exact percentiles."""
+    plan = queries.QUERIES["parsed_approximate"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    by_key = [line for line in plan.splitlines() if "Aggregate(keys=[" in line and "partkey" in line.split("keys=[")[1].split("]")[0]]
+    assert by_key and not any("approx" in line or "percentile" in line for line in by_key)
+    assert "percentile(" not in plan
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
