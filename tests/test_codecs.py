@@ -164,6 +164,8 @@ def test_text_values(spark):
 def test_layers(spark):
     head = bytes.fromhex("45000073000040004011b861c0a80001c0a800c7")
     assert of_bytes(spark, head, Y.ipv4_checksum) == 0xB861
+    carried = bytes.fromhex("450000303cbb40004011ffff7f0000017f000002")  # its words add up to 0x1FFFF, whose first fold carries again
+    assert of_bytes(spark, carried, Y.ipv4_checksum) == 0xFFFE
     assert of_bytes(spark, b"abcde", lambda p: Y.swapped(p, 2)) == b"badce"
     assert of_bytes(spark, b"not gzip", Y.gunzip) is None
     assert of_bytes(spark, bytes(100), Y.base64_mime).split("\r\n")[0].__len__() == 76
